@@ -32,6 +32,8 @@ from tessera.llm.common import Scratch, connected_components, shuffle_partitions
 CHUNK = 1024
 #: Chance partners per fingerprint that the choice of m allows.
 CHANCE = 2.0
+#: Rows (some 16 bytes each) up to which the documents to drop are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 4) -> bytes:
@@ -58,12 +60,13 @@ def fingerprint(text: bytes, width: int = 4) -> bytes:
 def _fingerprints(batches):
     for b in batches:
         raw = b"".join([fingerprint(t) for t in texts_of(b.column(1))])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64)), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long): one row for each row of ``df``."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[Column] | None = None) -> DataFrame:
+    """(id long, fp long, extra longs): one row for each row of ``df``."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(extra or []))
+    return rows.mapInArrow(_fingerprints, ", ".join(["id long", "fp long", *(f"{c} long" for c in rows.columns[2:])]))
 
 
 def block_masks(m: int, max_bits: int) -> list[int]:
@@ -169,6 +172,29 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bi
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
+    """``df`` with one row of each group: the first in order of (id, hash of text); nulls come first."""
+    scratch = Scratch(df.sparkSession, "one-of-each")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = scratch.save(fingerprints(df, id_col, text_col, extra=[F.xxhash64(text).alias("h")]), "marked")
+    distinct = scratch.save(marked.select("fp").distinct(), "distinct")
+    roots = connected_components(links(distinct, distinct.count(), max_bits), scratch)
+    roots = scratch.save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots-of-all")
+    rooted = scratch.save(marked.join(roots, "fp").groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n")), "rooted")
+    first = scratch.save(rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first")), "first")
+    told = rooted.join(first, "root").select("id", "h", "n", F.struct("id", "h").eqNullSafe(F.col("first")).alias("stays"))
+    odd = scratch.save(told.where("NOT stays OR n > 1").select(F.col("id").alias("_i"), F.col("h").alias("_h"), "stays"), "odd")
+    n_odd, repeated = odd.count(), odd.where("stays").limit(1).count()
+    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(text))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_h"))
+    side = F.broadcast(odd) if n_odd <= BROADCAST_ROWS else odd
+    out = keyed.join(side, on, "left_anti")
+    if repeated:  # rows equal in id and text, of which one stays
+        stays = odd.where("stays")
+        out = out.unionByName(keyed.join(F.broadcast(stays) if n_odd <= BROADCAST_ROWS else stays, on, "left_semi").dropDuplicates(["_id", "_key"]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = groups(docs.select("doc_id", "text"))
