@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this package whose ``query`` (and ``ORACLE_SQL``, where SQL can say it) it is
 MODULES = {
+    "op6_mincut": "mincut",
     "op3_mixing": "mixing",
     "op8_toxicity": "toxicity",
     "op4_repeats": "repeats",
