@@ -10,10 +10,11 @@ every suffix of a corpus costs several times the corpus; the order is built only
 2. *Buckets.*  Suffixes that start with the same gram are one bucket of the suffix order.  A bucket
    of one suffix has no repeat.  Suffixes whose whole contexts are equal are repeats of each other
    throughout and are settled by counting (copies cost one representative).
-3. *Suffix order.*  In the buckets that are left, with distinct contexts, all suffixes of the contexts
-   are sorted by prefix doubling, LCPs come from the doubling's names, and for each suffix the
-   previous and next smaller positions in suffix order give the longest earlier factor (LPF), by
-   exchange of the order the longest later one.
+3. *Suffix order.*  In the buckets that are left, contexts are sorted by what follows the gram's start,
+   with LCPs, and by what precedes it.  Suffixes that start o bytes before the gram agree on those
+   bytes if they are in one run of the second order; within a run their suffix order is the first
+   order.  So for each o the previous and next smaller positions in suffix order give the
+   longest earlier factor (LPF) of each suffix, and by exchange of the order the longest later one.
 4. A bucket of more than ``BUCKET`` distinct contexts is not gathered: its windows are dealt out one
    by one under their hashes and settled by counting, so no task holds an unbounded bucket.
 
@@ -39,11 +40,11 @@ from tessera.llm.common import Scratch, shuffle_partitions, texts_of
 
 LEAST = 400
 GRAM = 64
-BUCKET = 2048
+BUCKET = 1 << 16
 RUN = 1 << 21
 #: Tables of at most this many rows (some tens of MB) are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 NULL_ID = np.iinfo(np.int64).min
 AT = np.uint64((1 << 30) - 1)
 ANCHOR = "id long, h long, pos long, right int, gram long, ctx long"
@@ -119,73 +120,84 @@ def _anchors(least: int, gram: int):
 # ---------------------------------------------------------------- suffix order
 
 
-def longest_factors(flat: np.ndarray, limit: np.ndarray, starts: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(LPF, LNF) of the suffixes at ``starts``, zero where under ``least``.
-
-    limit: end of the text of each position; keys: distinct, the order that earlier and later mean.
+def _sorted_with_lcp(bucket: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket and text, LCP of each with the one before in its bucket, else -1)."""
+    order = np.array(sorted(range(len(texts)), key=lambda i: (bucket[i], texts[i])), np.int64)
+    sizes = np.fromiter((len(texts[i]) for i in order), np.int64, len(order))
+    width = int(sizes.max(initial=0)) + 1
+    lcp = np.full(len(order), -1, np.int64)
+    for s in range(0, len(order), 4096):  # rows of bytes, compared with the row before
+        part = order[max(0, s - 1) : s + 4096]
+        if len(part) < 2:
+            continue
+        rows = np.frombuffer(b"".join(texts[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+        differ = rows[1:] != rows[:-1]
+        first = np.where(differ.any(1), differ.argmax(1), width)
+        at = np.arange(max(0, s - 1) + 1, max(0, s - 1) + len(part))
+        lcp[at] = np.minimum(first, np.minimum(sizes[at], sizes[at - 1]))
+    lcp[np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])] = -1
+    return order, lcp
+
+
+def _previous_smaller(key: np.ndarray, lcp: np.ndarray, need: int) -> np.ndarray:
+    """LCP with the previous smaller key in suffix order, 0 where it is under ``need``; lcp: with the one before."""
+    at, got = np.arange(len(key)) - 1, lcp.copy()
+    at[got < need] = -1
+    while True:
+        todo = np.flatnonzero((at >= 0) & (key[np.maximum(at, 0)] > key))
+        if not len(todo):
+            return np.where(at >= 0, got, 0)
+        over = at[todo]  # skip with what the skipped one has skipped
+        got[todo] = np.minimum(got[todo], got[over])
+        at[todo] = at[over]
+        at[todo[got[todo] < need]] = -1
+
+
+def longest_factors(bucket: np.ndarray, before: list[bytes], after: list[bytes], keys: np.ndarray, least: int):
+    """For each o: (o, contexts, LPF, LNF) of the suffixes o bytes before the gram, 0 where under ``least``.
+
+    before, after: bytes up to the gram's start, and from it; keys: what earlier and later mean.
     """
-    n = len(starts)
-    lpf, lnf = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n < 2:
-        return lpf, lnf
-    # prefix doubling: names[k][p] orders the 8 * 2**k bytes from p (where they are inside the text)
-    padded = np.r_[flat, np.zeros(8, np.uint8)]
-    word = np.ndarray((len(flat),), ">u8", padded, 0, (1,)).astype(np.uint64)
-    name = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    names, size = [(8, name)], 8
-    while size * 2 <= least:
-        pair = name[: len(name) - size] * np.int64(len(flat) + 1) + name[size:]
-        name = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-        names.append((size, name))
-    rest = least - size
-    whole = name[starts] * np.int64(len(flat) + 1) + name[starts + rest]
-    order = np.argsort(whole, kind="stable")
-    # suffixes that agree on ``least`` bytes stay together; order inside such a run by what follows
-    same = np.r_[False, whole[order][1:] == whole[order][:-1]]
-    run = np.cumsum(~same) - 1
-    many = np.bincount(run)[run] > 1
-    order, run = order[many], run[many]
-    if not len(order):
-        return lpf, lnf
-    tail_end = limit[starts[order]]
-    tails = [bytes(flat[s + least : e]) for s, e in zip(starts[order].tolist(), tail_end.tolist())]
-    inner = sorted(range(len(order)), key=lambda i: (run[i], tails[i]))
-    order, run = order[inner], run[inner]
-    p, e = starts[order], limit[starts[order]]
-    lcp = np.zeros(len(order), np.int64)  # with the suffix before
-    joined = np.flatnonzero(np.r_[False, run[1:] == run[:-1]])
-    a, b, ea, eb = p[joined - 1], p[joined], e[joined - 1], e[joined]
-    off = np.full(len(joined), least, np.int64)
-    for width, nm in [names[-1]] + names[::-1]:
-        ok = (a + off + width <= ea) & (b + off + width <= eb)
-        ok[ok] = nm[(a + off)[ok]] == nm[(b + off)[ok]]
-        off += width * ok
-    for _ in range(8):
-        ok = (a + off < ea) & (b + off < eb)
-        ok[ok] = flat[(a + off)[ok]] == flat[(b + off)[ok]]
-        off += ok
-    lcp[joined] = off
-    own = keys[order]
-
-    def smaller(key: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """LCP with the previous smaller value of ``key`` in this direction; back: LCP with the one before."""
-        at = np.arange(len(key)) - 1
-        got = back.copy()
-        at[got < least] = -1
-        while True:
-            todo = np.flatnonzero((at >= 0) & (key[np.maximum(at, 0)] > key))
-            if not len(todo):
-                return np.where(at >= 0, got, 0)
-            over = at[todo]
-            got[todo] = np.minimum(got[todo], got[over])
-            at[todo] = np.where(at[over] >= 0, at[over], -1)
-            at[todo[got[todo] < least]] = -1
-
-    ahead = np.r_[lcp[1:], 0][::-1]
-    for out, key in ((lpf, own), (lnf, -own)):
-        out[order] = np.maximum(smaller(key, lcp), smaller(key[::-1], ahead)[::-1])
-    return lpf, lnf
+    n = len(after)
+    order, lcp = _sorted_with_lcp(bucket, after)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    table = [lcp]  # sparse table of range minima
+    while 2 << (len(table) - 1) <= n:
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    left_order, left_lcp = _sorted_with_lcp(bucket, [x[::-1] for x in before])
+    left_size = np.fromiter(map(len, before), np.int64, n)
+    right_size = np.fromiter(map(len, after), np.int64, n)
+    # the most that a context can share on either side bounds the columns it takes part in
+    most_right, most_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    most_right[order] = np.maximum(lcp, np.r_[lcp[1:], -1])
+    most_left[left_order] = np.maximum(left_lcp, np.r_[left_lcp[1:], -1])
+    live = most_left + most_right >= least
+    run = np.empty(n, np.int64)
+    for o in range(int(left_size.max(initial=0)) + 1):
+        need = least - o
+        run[left_order] = np.cumsum(left_lcp < o)
+        own = np.flatnonzero(live & (most_left >= o) & (most_right >= need) & (left_size >= o) & (right_size >= need))
+        if len(own) < 2:
+            continue
+        own = own[np.argsort(run[own] * n + rank[own])]
+        a, b = rank[own[:-1]] + 1, rank[own[1:]] + 1
+        same = run[own[1:]] == run[own[:-1]]
+        shared = np.full(len(own), -1, np.int64)
+        a, b, at = a[same], b[same], np.flatnonzero(same) + 1
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            here = level == k
+            shared[at[here]] = np.minimum(table[k][a[here]], table[k][b[here] - (1 << int(k))])
+        met = shared >= need
+        met[:-1] |= met[1:]
+        own, shared = own[met], shared[met]
+        if not len(own):
+            continue
+        ahead = np.r_[shared[1:], -1][::-1]
+        lpf, lnf = (np.maximum(_previous_smaller(k, shared, need), _previous_smaller(k[::-1], ahead, need)[::-1]) for k in (keys[own], -keys[own]))
+        yield o, own, np.where(lpf > 0, lpf + o, 0), np.where(lnf > 0, lnf + o, 0)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,29 +212,19 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _matches(least: int, keep: str):
     def solve(rows: list[tuple]):
-        """rows: (id, h, first byte of the context in its text, context)."""
-        bodies = [r[3] for r in rows]
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        flat = np.frombuffer(b"".join(bodies), np.uint8)
-        limit = np.repeat(np.cumsum(sizes), sizes)
-        docs = sorted({(r[0], r[1]) for r in rows})
-        place = {d: i for i, d in enumerate(docs)}
-        doc = np.repeat(np.array([place[r[0], r[1]] for r in rows]), sizes)
-        spot = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.array([r[2] for r in rows], np.int64), sizes)
-        starts = np.flatnonzero(limit - np.arange(len(flat)) >= least)
-        key = (doc[starts].astype(np.int64) << 40) + spot[starts]
-        # one suffix of a text may be in several contexts: once, with the longest reach
-        order = np.lexsort((-(limit[starts] - starts), key))
-        once = order[np.r_[True, key[order][1:] != key[order][:-1]]] if len(order) else order
-        starts, key = starts[once], key[once]
-        lpf, lnf = longest_factors(flat, limit, starts, key, least)
-        length = lpf if keep == "first" else np.maximum(lpf, lnf)
-        hit = length >= least
-        for i in np.unique(doc[starts[hit]]).tolist():
-            own = hit & (doc[starts] == i)
-            s, e = merged(spot[starts[own]], spot[starts[own]] + length[own])
-            for x, y in zip(s.tolist(), e.tolist()):
-                yield docs[i][0], docs[i][1], x, y
+        """rows: (bucket, id, h, first byte of the context in its text, context, where in it the gram starts)."""
+        docs = {d: i for i, d in enumerate(sorted({(r[1], r[2]) for r in rows}))}
+        pos = np.array([r[3] + r[5] for r in rows], np.int64)
+        keys = (np.array([docs[r[1], r[2]] for r in rows], np.int64) << 40) + pos
+        bucket = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
+        start, end = pos.copy(), pos.copy()
+        for o, own, lpf, lnf in longest_factors(bucket, [r[4][: r[5]] for r in rows], [r[4][r[5] :] for r in rows], keys, least):
+            length = lpf if keep == "first" else np.maximum(lpf, lnf)
+            own, length = own[length > 0], length[length > 0]
+            start[own] = np.minimum(start[own], pos[own] - o)  # all of a context's repeats hold its gram: their union is one span
+            end[own] = np.maximum(end[own], pos[own] - o + length)
+        for i in np.flatnonzero(end > start).tolist():
+            yield rows[i][1], rows[i][2], int(start[i]), int(end[i])
 
     def batch(rows):
         out = list(solve(rows))
@@ -232,11 +234,11 @@ def _matches(least: int, keep: str):
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            for gram, i, h, first, body in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for gram, i, h, first, body, at in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if gram != last and size >= BATCH_BYTES:  # whole buckets only
                     yield batch(rows)
                     rows, size = [], 0
-                rows.append((NULL_ID if i is None else i, h, first, body))
+                rows.append((gram, NULL_ID if i is None else i, h, first, body, at))
                 size += len(body)
                 last = gram
         if rows:
@@ -248,27 +250,27 @@ def _matches(least: int, keep: str):
 def _contexts(least: int, gram: int):
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for i, h, t, spots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), b.column(3).to_pylist()):
                 for x in spots:
                     first = max(0, x["pos"] - least + gram)
-                    for k, v in enumerate((x["gram"], i, h, first, t[first : x["pos"] + least])):
+                    for k, v in enumerate((x["gram"], i, h, first, t[first : x["pos"] + least], x["pos"] - first)):
                         out[k].append(v)
                     if len(out[0]) >= 4096:
                         yield _context_batch(out)
-                        out = [[] for _ in range(5)]
+                        out = [[] for _ in range(6)]
             if out[0]:
                 yield _context_batch(out)
 
     return run
 
 
-CONTEXT = "gram long, id long, h long, first long, body binary"
+CONTEXT = "gram long, id long, h long, first long, body binary, at int"
 
 
 def _context_batch(out):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["gram", "id", "h", "first", "body"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["gram", "id", "h", "first", "body", "at"])
 
 
 def _windows(least: int):
@@ -340,12 +342,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once = long_enough.join(F.broadcast(asked) if n_mixed <= BROADCAST_ROWS else asked, same).select("id", "h", "t", "spots")
     bodies = once.mapInArrow(_contexts(least, gram), CONTEXT)
     if not first:  # rows equal in id and text bring each context once
-        bodies = bodies.dropDuplicates(["gram", "id", "h", "first"])
+        bodies = bodies.dropDuplicates(["gram", "id", "h", "first", "at"])
     bodies = scratch.save(bodies, "bodies")
     crowd = scratch.save(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("gram"), "crowd")
     crowded = crowd.count()
     calm = bodies.join(crowd, "gram", "left_anti") if crowded else bodies
-    matched = calm.repartition(parts, "gram").sortWithinPartitions("gram", "id", "h", "first").mapInArrow(_matches(least, keep), "id long, h long, start long, end long")
+    matched = calm.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_matches(least, keep), "id long, h long, start long, end long")
     spans = settled.union(matched)
     if crowded:
         windows = scratch.save(bodies.join(crowd, "gram", "left_semi").mapInArrow(_windows(least), "key long, id long, h long, start long").distinct(), "windows")
