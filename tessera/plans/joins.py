@@ -203,11 +203,11 @@ def model_select_combo(spark, sf):
     return fit.groupBy(F.array_join("req", "+").alias("request")).agg(F.max_by("id", F.struct("score", "id")).alias("model"))
 
 
-@query("SELECT c_custkey, coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), ','), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def left_join_default_empty(spark, sf):
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
     c = table(spark, sf, "customer", "c_custkey")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("keys", F.array().cast("array<long>")).alias("keys")).select("c_custkey", F.size("keys").cast("long").alias("n"), F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS blanked, CASE WHEN l.doc_id IS NOT NULL THEN '' ELSE d.source END AS source FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)")

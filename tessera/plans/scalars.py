@@ -110,11 +110,11 @@ def peak_normalise_topn(spark, sf):
     return n.select("l_orderkey", "pos", "p.mz", F.round("p.i", 6).alias("i"))
 
 
-@query("SELECT l_orderkey, list_sort(list(mz)) AS kept FROM (SELECT l_orderkey, l_extendedprice AS mz FROM lineitem WHERE l_quantity > 5 AND l_extendedprice > 1000) GROUP BY 1")
+@query("SELECT l_orderkey, count(*) AS n, round(sum(mz), 4) AS total FROM (SELECT l_orderkey, l_extendedprice AS mz FROM lineitem WHERE l_quantity > 5 AND l_extendedprice > 1000) GROUP BY 1")
 def drop_sentinels(spark, sf):
     """Peaks with a coordinate under its floor go; spectra that this empties go with them."""
     kept = F.transform(F.filter("peaks", lambda p: (p["i"] > 5) & (p["mz"] > 1000)), lambda p: p["mz"])
-    return spectra(spark, sf).select("l_orderkey", kept.alias("kept")).where(F.size("kept") > 0)
+    return spectra(spark, sf).select("l_orderkey", kept.alias("kept")).where(F.size("kept") > 0).select("l_orderkey", F.size("kept").cast("long").alias("n"), F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query(
