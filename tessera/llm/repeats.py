@@ -336,10 +336,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # distinct contexts of one bucket, by suffix order
     mixed = contexts.where("mixed").select("gram", "least.*")
     per_text = scratch.save(mixed.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "pos")).alias("spots")), "asked")
-    n_mixed = mixed.count()
     asked = per_text.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "spots")
     same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))
-    once = long_enough.join(F.broadcast(asked) if n_mixed <= BROADCAST_ROWS else asked, same).select("id", "h", "t", "spots")
+    once = long_enough.join(asked, same).select("id", "h", "t", "spots")
     bodies = once.mapInArrow(_contexts(least, gram), CONTEXT)
     if not first:  # rows equal in id and text bring each context once
         bodies = bodies.dropDuplicates(["gram", "id", "h", "first", "at"])
