@@ -40,6 +40,8 @@ LENGTH = 1024
 BATCH = 256
 CACHE = 400_000
 LONG_WORD = 64
+LINE = 1000
+RUN = 1 << 21
 END_ID = 1
 META = "part int, path string, n_docs long, n_tokens long"
 
@@ -61,21 +63,44 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > CACHE:
-                known = self.known = {"": b""}
-                new = set(words) - {""}
-            fresh = list(new)
-            long = {}
-            for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                (known if len(word) <= LONG_WORD else long)[word] = np.array(found.ids, self.dtype).tobytes()
-            if long:
-                return b"".join([known[w] if w in known else long[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: encoded in long lines, told apart by where in its line each token starts."""
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        size = self.dtype.itemsize
+        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+            ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
+            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            raw = np.array(found.ids, self.dtype).tobytes()
+            cuts = (np.searchsorted(starts, ends) * size).tolist()
+            self.known.update(zip(line, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the words that a run of texts has for the first time are learnt together."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known = {"": b""}
+            new = set().union(*split) - {""}
+        long = {w: self._alone(w) for w in new if len(w) > LONG_WORD}
+        self._learn([w for w in new if len(w) <= LONG_WORD])
+        known = self.known | long if long else self.known
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def runs(texts: list[str], most: int = RUN):
+    """Runs of texts of a bounded size, any one text whole."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @lru_cache(maxsize=2)
@@ -150,8 +175,7 @@ def _writer(path: str, folder: str, end_id: int, length: int):
                 sink = files.open_output_stream(local + ".tokens.arrow")
                 out = pa.ipc.new_stream(sink, schema)
             starts, counts = [], []
-            for text in b.column(1):
-                raw = enc.encode(text.as_py() or "") + end
+            for raw in (x + end for run in runs([t or "" for t in b.column(1).to_pylist()]) for x in enc.encode(run)):
                 n = len(raw) // enc.dtype.itemsize
                 starts.append(total)
                 counts.append(n)
