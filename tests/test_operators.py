@@ -87,3 +87,18 @@ def test_stream_matches_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = limited(spark.createDataFrame(rows, "user_id long, sec long"), "user_id", "sec", 100, 2)
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+    from random import Random
+
+    from tessera.functions.assignment import best_assignment, clean_reference
+
+    rng = Random(3)
+    for _ in range(40):
+        a, b = ([rng.random() * 9 for _ in range(rng.randint(1, 5))] for _ in range(2))
+        s, t = sorted((a, b), key=len)
+        assert best_assignment(a, b) == pytest.approx(min(sum(abs(x - y) for x, y in zip(s, p)) for p in permutations(t, len(s))))
+    assert best_assignment([], [1.0]) is None
+    assert clean_reference("10.1/x(1).)") == "10.1/x(1)" and clean_reference(None) is None
