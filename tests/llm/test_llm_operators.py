@@ -281,6 +281,21 @@ def test_pieces_distribution():
     assert tuple(sp.id_to_piece(i) for i in best.tolist()) == top
 
 
+def test_pieces_long_units_as_short_ones():
+    rng = random.Random(12)
+    units = ["▁" + "there" * 20, "▁https://example.org/" + "".join(rng.choice("abcdefgh/-é漢") for _ in range(150)), "▁" + "e" * 70]
+    for alpha in (0.5, None):
+        for unit in units:
+            one, other = (pieces.Lattice(pieces.vocabulary_path(), alpha) for _ in range(2))
+            one.add([unit])
+            other.add_long(unit)
+            assert np.array_equal(one.code, other.code) and np.array_equal(one.back, other.back)
+            assert np.allclose(one.share, other.share, rtol=0, atol=1e-9)
+    lat = pieces.Lattice(pieces.vocabulary_path(), 0.5)
+    lat.add_long("漢" + "there" * 2000)  # far beyond the range of plain floats
+    assert np.isfinite(lat.share).all()
+
+
 # ---------------------------------------------------------------- language model
 
 
