@@ -3,12 +3,13 @@
 A writer's word passes a channel that swaps letters for look-alikes (``LOOKALIKES``), repeats them, and
 puts separators between them.  ``Decoder.restore`` finds the likeliest source by Viterbi search over
 the lattice of what each seen character may stand for, under a character trigram model of the
-training words; runs of single characters (``i d i o t``) are joined first.  Plain words pass as they
+words of all texts; runs of single characters (``i d i o t``) are joined first.  Plain words pass as they
 are.  Features are the restored words and their first three to five letters; a logistic regression
 on the most telling ones gives the score.
 
-Learning uses only labelled rows of the training part: at most ``TRAIN_ROWS`` of them, those with the
-smallest hash of their id.  All texts are scored, whole.
+The logistic fit uses only labelled rows of the training part: at most ``TRAIN_ROWS`` of them, those with
+the smallest hash of their id.  The trigrams need no labels and are counted over all texts.  All texts
+are scored, whole.
 
 Defined results: a null or empty text has no features and scores the base rate; a null id is never
 a training row and takes the crc of the empty text; rows repeated in either table count as often as they are there;
@@ -144,17 +145,27 @@ class Reader:
 
 
 def _trigrams(batches):
-    total: Counter = Counter()
+    """Character trigrams of the plain words of all texts; what is held is bounded."""
+    seen: Counter = Counter()
+
+    def flush():
+        total: Counter = Counter()
+        for w, n in seen.items():
+            w = word_of(w)
+            if w.isalpha() and not TRIPLE.search(w):
+                g = f"^^{w}$"
+                for i in range(len(g) - 2):
+                    total[g[i : i + 3]] += n
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
+
     for b in batches:
         for t in b.column(0).to_pylist():
-            for w, n in Counter((t or "").lower().split()).items():
-                w = word_of(w)
-                if w.isalpha() and not TRIPLE.search(w):
-                    g = f"^^{w}$"
-                    for i in range(len(g) - 2):
-                        total[g[i : i + 3]] += n
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
+            seen.update((t or "").lower().split())
+            if len(seen) > CACHE:
+                yield flush()
+    if seen:
+        yield flush()
 
 
 def _feature_counts(shared):
@@ -209,7 +220,7 @@ def crc_part(id_col: str, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Model | None:
-    """Learn from at most ``most`` labelled rows; None without any."""
+    """Trigrams of all of ``docs`` and a fit on at most ``most`` labelled rows; None without any."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     known = labels.select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("y")).where("_l IS NOT NULL AND y IN (0, 1)")
@@ -221,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     total, bad = sample.agg(F.count("y"), F.sum("y")).first()
     if not total or not bad or bad == total:
         return None
-    grams = sample.select("t").mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(text_col).cast("string").alias("t"))
+    grams = texts.mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast({r.g: r.n for r in grams.collect()})  # no more than the alphabet cubed
     counts = sample.mapInArrow(_feature_counts(shared), "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     base = bad / total

@@ -389,6 +389,14 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, model).count() == 0
 
 
+def test_toxicity_trigrams_of_all_texts(spark):
+    rows = [(i, "stupid words" if i % 2 else "plain words") for i in range(20)] + [(100 + i, "Grüße Žluťoučký grüße") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab, most=10)
+    assert model.trigrams["üße"] == 10 and model.trigrams["^^ž"] == 5 and model.trigrams["wor"] == 20
+
+
 # ---------------------------------------------------------------- language
 
 
