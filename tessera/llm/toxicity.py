@@ -4,7 +4,8 @@ A writer's word passes a channel that swaps letters for look-alikes (``LOOKALIKE
 puts separators between them.  ``Decoder.restore`` finds the likeliest source by Viterbi search over
 the lattice of what each seen character may stand for, under a character trigram model of the
 words of all texts; runs of single characters (``i d i o t``) are joined first.  Plain words pass as they
-are.  Features are the restored words and their first three to five letters; a logistic regression
+are; tokens of more than ``LONG`` characters are read part by part between their separators, and without
+any the search runs over the whole token.  Features are the restored words and their first three to five letters; a logistic regression
 on the most telling ones gives the score.
 
 The logistic fit uses only labelled rows of the training part: at most ``TRAIN_ROWS`` of them, those with
@@ -34,6 +35,7 @@ TRAIN_ROWS = 20_000
 FEATURES = 3_000
 LEAST_DOCS = 5
 CACHE = 400_000
+LONG = 200  # tokens of more characters are read part by part and not remembered
 THRESHOLD = 0.7
 #: fixed values: what a seen character may stand for besides itself
 LOOKALIKES = {
@@ -45,6 +47,7 @@ BETWEEN = " .-_*~,/\\'`"
 SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|][ .\-_*~][^\W_][ .\-_*~][^\W_](?:[ .\-_*~][^\W_])*(?![^\W_])|(?<![\w@$!|])[\w@$!|](?:[ .\-_*~][\w@$!|]){2,}(?![\w@$!|])")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 LEAD = "".join(c for c in EDGE if c not in "@$!|+(€")
+JOINTS = re.compile(r"(?:[^\w@$!|+*#%(€£¡]|_)+")
 TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -76,10 +79,10 @@ class Decoder:
 
     def restore(self, seen: str) -> str:
         """The likeliest source word of a run of characters."""
-        # (last two source characters, last seen character) -> (score, source so far)
-        states = {("^^", ""): (0.0, "")}
+        # (last two source characters, last seen character) -> (score, source so far as a chain of characters)
+        states = {("^^", ""): (0.0, None)}
         for c in seen:
-            new: dict[tuple[str, str], tuple[float, str]] = {}
+            new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
 
             def put(key, score, text):
                 if key not in new or new[key][0] < score:
@@ -91,12 +94,21 @@ class Decoder:
                 if not c.isalnum():
                     put((before, last), score + (SKIP_ODD if c in LOOKALIKES else SKIP), text)
                 for s in LOOKALIKES.get(c, ""):
-                    put((before[1] + s, c), score + SWAP - math.log(len(LOOKALIKES[c])) + self.log_p(before, s), text + s)
+                    put((before[1] + s, c), score + SWAP - math.log(len(LOOKALIKES[c])) + self.log_p(before, s), (text, s))
                 own = 0.0 if c.isalpha() else KEEP_ODD
-                put((before[1] + c, c), score + own + self.log_p(before, c), text + c)
-            states = dict(sorted(new.items(), key=lambda x: (-x[1][0], x[1][1]))[:24])
+                put((before[1] + c, c), score + own + self.log_p(before, c), (text, c))
+            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24])
         ends = [(score + self.log_p(before, "$"), text) for (before, _), (score, text) in states.items()]
-        return max(ends, key=lambda x: (x[0], x[1]))[1] if ends else ""
+        best = max(score for score, _ in ends)
+        return max(_source(text) for score, text in ends if score == best)
+
+
+def _source(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, c = chain
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def word_of(token: str) -> str:
@@ -104,6 +116,18 @@ def word_of(token: str) -> str:
     return token.rstrip(EDGE).lstrip(LEAD)
 
 
+def parts_of(word: str) -> list[str]:
+    """The parts between a long token's separators; single characters in a row make one part."""
+    out, letters = [], ""
+    for p in filter(None, JOINTS.split(word)):
+        if len(p) == 1:
+            letters += p
+            continue
+        out += [letters, p] if letters else [p]
+        letters = ""
+    return [*out, letters] if letters else out
+
+
 class Reader:
     """Text -> features, with a bounded memory of tokens."""
 
@@ -112,8 +136,10 @@ class Reader:
 
     def of_word(self, token: str) -> tuple[str, ...]:
         word = word_of(token)
-        if not word or word.isdigit() or len(word) > 200:
+        if not word or word.isdigit():
             return ()
+        if len(word) > LONG and len(parts := parts_of(word)) > 1:  # joined without blanks: each part is a word
+            return tuple(dict.fromkeys(f for p in dict.fromkeys(parts) for f in self.of_word(p)))
         forms = set()
         if not word.isalpha() or TRIPLE.search(word):
             # hyphens and the like join words as well as letters: the parts count too
@@ -139,7 +165,9 @@ class Reader:
         for t in tokens:
             got = known.get(t)
             if got is None:
-                got = known[t] = self.of_word(t)
+                got = self.of_word(t)
+                if len(t) <= LONG:
+                    known[t] = got
             found.update(got)
         return found
 

@@ -397,6 +397,19 @@ def test_toxicity_trigrams_of_all_texts(spark):
     assert model.trigrams["üße"] == 10 and model.trigrams["^^ž"] == 5 and model.trigrams["wor"] == 20
 
 
+def test_toxicity_long_tokens():
+    grams = Counter()
+    for w in ["idiot", "stupid", "plain", "words", "there"] * 50:
+        grams.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
+    read = toxicity.Reader(toxicity.Decoder(grams))
+    for joint in ".-_":
+        got = read.features(joint.join(["plain", "words"] * 30 + ["1d10t"] + ["there"] * 20))
+        assert {"idiot$", "plain$", "words$", "there$"} <= got
+    assert "idiot$" in read.features("/".join(["words"] * 50 + list("idiot") + ["there"]))
+    assert "idiot" in read.features(" ".join("idiot" * 60)) and "stupi" in read.features("5tupid" * 50)
+    assert "stupi" in read.features("5tupid" * 5_000)  # in time linear in the length
+
+
 # ---------------------------------------------------------------- language
 
 
