@@ -78,7 +78,7 @@ class Decoder:
         return got
 
     def restore(self, seen: str) -> str:
-        """The likeliest source word of a run of characters."""
+        """The likeliest source word of a run of characters; every state is kept."""
         # (last two source characters, last seen character) -> (score, source so far as a chain of characters)
         states = {("^^", ""): (0.0, None)}
         for c in seen:
@@ -97,7 +97,7 @@ class Decoder:
                     put((before[1] + s, c), score + SWAP - math.log(len(LOOKALIKES[c])) + self.log_p(before, s), (text, s))
                 own = 0.0 if c.isalpha() else KEEP_ODD
                 put((before[1] + c, c), score + own + self.log_p(before, c), (text, c))
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24])
+            states = new
         ends = [(score + self.log_p(before, "$"), text) for (before, _), (score, text) in states.items()]
         best = max(score for score, _ in ends)
         return max(_source(text) for score, text in ends if score == best)

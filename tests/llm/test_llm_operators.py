@@ -410,6 +410,33 @@ def test_toxicity_long_tokens():
     assert "stupi" in read.features("5tupid" * 5_000)  # in time linear in the length
 
 
+def test_toxicity_search_is_exact():
+    rng = random.Random(3)
+
+    def every(decoder, seen, before="^^", last="", score=0.0, text=""):
+        if not seen:
+            yield score + decoder.log_p(before, "$"), text
+            return
+        c, rest = seen[0], seen[1:]
+        if c == last:
+            yield from every(decoder, rest, before, c, score + toxicity.REPEAT, text)
+        if not c.isalnum():
+            yield from every(decoder, rest, before, last, score + (toxicity.SKIP_ODD if c in toxicity.LOOKALIKES else toxicity.SKIP), text)
+        for s in [*toxicity.LOOKALIKES.get(c, ""), c]:
+            channel = (0.0 if c.isalpha() else toxicity.KEEP_ODD) if s == c else toxicity.SWAP - math.log(len(toxicity.LOOKALIKES[c]))
+            yield from every(decoder, rest, before[1] + s, c, score + channel + decoder.log_p(before, s), text + s)
+
+    for _ in range(40):
+        grams = Counter()
+        for _ in range(40):
+            w, k = "".join(rng.choice("aeioubdt") for _ in range(rng.randint(3, 7))), rng.randint(1, 400)
+            for i in range(len(w) + 1):
+                grams[f"^^{w}$"[i : i + 3]] += k
+        decoder = toxicity.Decoder(grams)
+        for seen in ("%#tbd", "*%#bd", "#%t%", "b**#t"):
+            assert decoder.restore(seen) == max(every(decoder, seen))[1]
+
+
 # ---------------------------------------------------------------- language
 
 
