@@ -339,9 +339,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = per_text.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "spots")
     same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))
     once = long_enough.join(asked, same).select("id", "h", "t", "spots")
-    bodies = once.mapInArrow(_contexts(least, gram), CONTEXT)
-    if not first:  # rows equal in id and text bring each context once
-        bodies = bodies.dropDuplicates(["gram", "id", "h", "first", "at"])
+    # rows equal in id and text bring each context once
+    bodies = once.mapInArrow(_contexts(least, gram), CONTEXT).dropDuplicates(["gram", "id", "h", "first", "at"])
     bodies = scratch.save(bodies, "bodies")
     crowd = scratch.save(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("gram"), "crowd")
     crowded = crowd.count()

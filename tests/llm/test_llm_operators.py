@@ -163,6 +163,15 @@ def test_repeats_edges(spark, docs, empty):
     assert repeats.whole_characters("é".encode() * 3, [{"start": 1, "end": 5}]) == [{"start": 2, "end": 4}]
 
 
+def test_repeats_of_repeated_rows(spark):
+    rng = random.Random(13)
+    shared = " ".join(words(rng, 120))
+    rows = [(i, f"{' '.join(words(rng, 60))} {shared} {' '.join(words(rng, 60))}") for i in range(3)]
+    spans = lambda x: {(r.id, r.h, tuple(map(tuple, r.spans))) for r in repeats.repeated_spans(spark.createDataFrame(x, "doc_id long, text string"), keep="first").collect()}
+    got = spans([*rows, *rows])
+    assert got == spans(rows) and {x[0] for x in got} == {1, 2}
+
+
 # ---------------------------------------------------------------- decontamination
 
 
