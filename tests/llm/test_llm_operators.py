@@ -215,6 +215,31 @@ def test_token_files(spark, docs, empty):
     assert token_files.read(sc.save(token_files.write(empty, sc.path("g"), token_files.vocabulary_path()), "n")).count() == 0
 
 
+def test_token_words_join_as_whole_texts():
+    """Cores, tails of signs and odd words against whole-text encoding, each text alone and in one run."""
+    enc = token_files.WordEncoder(token_files.vocabulary_path())
+    rng = random.Random(8)
+    bits = ["don't", "'s", "it's.", "abc…", "…", "12.5,", "İstanbul", "ΑΣ.", "ﬁn", "e\u0301t\u00e9", "\x01", "a\x01b", "\t", "\r", "x\u2028y", "\u00a0", "((a))", "a_b-c", "--", "'", "a'.", "日本語。", "Ünï.", "Σ", "x" * 300 + ".", "7" * 90, "<|endoftext|>", "🙂!", ""]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 30))).replace("--", "\n") for _ in range(150)] + [" ".join(words(rng, 60_000)) + "!" * 999]
+    whole = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = enc.encode(texts)
+    assert counts.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
+    assert all(enc.encode([t])[0].tolist() == x for t, x in zip(texts[:40], whole))
+
+
+def test_token_files_are_bounded(spark):
+    df = spark.createDataFrame([(i, "some words here " * (1 + i % 7)) for i in range(400)], "doc_id long, text string").repartition(1)
+    sc = common.Scratch(spark, "tokens")
+    got, rows = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(rows)
+    spark.conf.set(rows, "9")
+    for name, most in (("a", 150), ("b", 1 << 26)):
+        files = sc.save(token_files.write(df, sc.path(name), token_files.vocabulary_path(), length=8, most=most), f"m{name}")
+        got.append((files.count(), sorted(token_files.read(files).collect())))
+    spark.conf.set(rows, kept)
+    assert got[0][1] == got[1][1] and got[0][0] > got[1][0]
+
+
 # ---------------------------------------------------------------- nearest neighbours
 
 
