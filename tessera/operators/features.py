@@ -1,4 +1,4 @@
-"""Feature vocabularies: multisets of parts -> cumulative features -> entropy-ranked columns -> sparse rows."""
+"""Feature vocabularies: multisets of parts -> cumulative features -> entropy-ranked columns -> packed rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z]{3,}"
+WIDTH = 1024
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -13,9 +14,22 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("token"))
 
 
+def run_lengths(sorted_values: Column) -> Column:
+    """array<struct<token, n>> of a sorted array, by its runs; linear in its length."""
+
+    def of(s: Column) -> Column:
+        size = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), size), lambda i: (i == 0) | (i == size) | (s[i] != s[i - 1]))  # and the end
+        runs = lambda st: F.transform(F.slice(st, F.lit(1), F.size(st) - 1), lambda i, j: F.struct(s[i].alias("token"), (st[j + 1] - i).cast("long").alias("n")))
+        return F.transform(F.array(starts), runs)[0]
+
+    return F.transform(F.array(sorted_values), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>")))[0]
+
+
 def multiset(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, n); counted map-side first."""
-    return tokens(docs).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """(doc_id, token, n), one document per row: counted inside the row, without a shuffle."""
+    found = F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
+    return docs.select("doc_id", F.explode(run_lengths(found)).alias("r")).select("doc_id", "r.token", "r.n")
 
 
 def thermometer(counts: DataFrame, cap: int | None = 5) -> DataFrame:
@@ -30,7 +44,7 @@ def entropy(p: Column) -> Column:
     return -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
 
 
-def vocabulary(features: DataFrame, n: int, size: int = 1024) -> DataFrame:
+def vocabulary(features: DataFrame, n: int, size: int = WIDTH) -> DataFrame:
     """(token, k, df, h, col): the ``size`` features of highest entropy; ties by (token, k).
 
     The top rows are found by a distributed limit, so that only ``size`` rows are numbered.
@@ -46,6 +60,27 @@ def bank(features: DataFrame, vocab: DataFrame) -> DataFrame:
     return features.join(F.broadcast(vocab.select("token", "k", "col")), ["token", "k"]).select("doc_id", "col")
 
 
+def packed(ids: DataFrame, postings: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, bits array<long>, nnz long): a row of ``width`` bits for every id, empty rows included.
+
+    A row's columns meet in its own task before the one shuffle, which moves a packed row per document.
+    """
+    rows = ids.select("doc_id", F.lit(None).cast("int").alias("col")).union(postings.select("doc_id", F.col("col").cast("int")))
+    words = [F.coalesce(F.bit_or(F.when(F.expr(f"shiftright(col, 6) = {w}"), F.expr("shiftleft(1L, col & 63)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in range(-(-width // 64))]
+    out = rows.groupBy("doc_id").agg(*words).select("doc_id", F.array(*[f"w{w}" for w in range(len(words))]).alias("bits"))
+    return out.withColumn("nnz", F.aggregate("bits", F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x)))
+
+
+def columns_of(bits: str) -> Column:
+    """The set columns of a packed row, ascending."""
+    return F.flatten(F.transform(bits, lambda x, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(x, i) == 1), lambda i: (w * 64 + i).cast("int"))))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, col) of packed rows."""
+    return rows.select("doc_id", F.explode(columns_of("bits")).alias("col"))
+
+
 def row_sizes(ids: DataFrame, postings: DataFrame) -> DataFrame:
     """(doc_id, nnz) with empty rows kept."""
     counted = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,10 +47,15 @@ def band_join(values: DataFrame, lines: DataFrame, value: str, center: str, widt
     return v.join(m, "_b").where(F.abs(F.col(value) - F.col(center)) <= width).drop("_b")
 
 
-def average_rank(partition: str | None, value: str) -> Column:
-    """Ranks from 1 with ties averaged."""
-    p = Window.partitionBy(*([partition] if partition else []))
-    return F.rank().over(p.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*([partition] if partition else []), value)) - 1) / 2
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that must be unique on both sides, with n_left, n_right and n_joined; a repeated key is an error in its row."""
+    tagged = left.select(key, F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema).alias("r")).unionByName(right.select(key, F.lit(None).cast(left.schema).alias("l"), F.struct(*right.columns).alias("r")))
+    once = tagged.groupBy(key).agg(F.count("l").alias("nl"), F.count("r").alias("nr"), F.first("l", True).alias("l"), F.first("r", True).alias("r"))
+    bad = F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"))).cast("boolean")
+    once = once.withColumn("ok", F.when((F.col("nl") > 1) | (F.col("nr") > 1), bad).otherwise(F.lit(True)))
+    counts = once.agg(F.count_if((F.col("nl") > 0) & F.col("ok")).alias("n_left"), F.count_if(F.col("nr") > 0).alias("n_right"), F.count_if((F.col("nl") > 0) & (F.col("nr") > 0)).alias("n_joined"))
+    rest = [c for c in right.columns if c != key]
+    return once.where("nl > 0 AND nr > 0").crossJoin(F.broadcast(counts)).select("l.*", *[f"r.{c}" for c in rest], "n_left", "n_right", "n_joined")
 
 
 def first_failure(reasons: dict[str, Column]) -> Column:

@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.operators import pipeline as op
 from tessera.operators import relational as rel
+from tessera.operators.numbering import quantiles
+from tessera.operators.shared import new_folder
 from tessera.registry import query
 from tessera.sources import readers
 from tessera.sources.tables import table
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder; our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS value FROM customer")
 def csv_round_trip(spark, sf):
     """Customers written as CSV and read back under other column names."""
-    path = scratch(spark, "csv")
+    path = new_folder(spark, "csv")
     table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal").write.csv(path, header=True)
     return readers.csv(spark, path, "c_custkey long, c_name string, c_acctbal double", {"c_custkey": "id", "c_name": "name", "c_acctbal": "value"})
 
 
 @query("SELECT s_name AS key, CAST(s_suppkey AS VARCHAR) AS id FROM supplier")
 def text_fields_round_trip(spark, sf):
-    path = scratch(spark, "text")
+    path = new_folder(spark, "text")
     table(spark, sf, "supplier").select(F.concat_ws("  ", "s_name", "s_suppkey")).write.text(path)
     return readers.fields(spark, path, ["key", "id"])
 
@@ -38,7 +31,7 @@ def text_fields_round_trip(spark, sf):
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def jsonl_last_wins(spark, sf):
     """Orders as gzipped JSON lines; a status filter, then the last record of each key."""
-    path = scratch(spark, "jsonl")
+    path = new_folder(spark, "jsonl")
     table(spark, sf, "orders").write.json(path, compression="gzip")
     r = readers.json_lines(spark, path, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string").where("o_orderstatus <> 'P'")
     return rel.last_wins(r, "o_custkey", F.col("o_orderkey"), "o_orderkey", "o_totalprice")
@@ -46,14 +39,14 @@ def jsonl_last_wins(spark, sf):
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS key FROM part")
 def tsv_structures(spark, sf):
-    path = scratch(spark, "tsv")
+    path = new_folder(spark, "tsv")
     table(spark, sf, "part", "p_partkey", "p_name").write.csv(path, sep="\t", header=True)
     return readers.structures(spark, path)
 
 
 @query("SELECT CAST(p_size AS DOUBLE) AS shift, p_name AS atom, CAST(NULL AS VARCHAR) AS phase FROM part")
 def header_synonyms(spark, sf):
-    path = scratch(spark, "synonyms")
+    path = new_folder(spark, "synonyms")
     table(spark, sf, "part").select(F.col("p_size").alias("H_PPM"), F.col("p_name").alias("Label")).write.csv(path, header=True)
     s = readers.synonyms(spark, path, {"shift": ["Shift", "h_ppm"], "atom": ["Atom", "label"], "phase": ["Phase"]})
     return s.select(F.col("shift").try_cast("double").alias("shift"), "atom", "phase")
@@ -62,7 +55,7 @@ def header_synonyms(spark, sf):
 @query("SELECT vec_id AS idx, CAST(len(embedding) AS INTEGER) AS n, CAST(32 AS INTEGER) AS rows_, round(CAST(embedding[3] AS DOUBLE), 6) AS r1c0 FROM embeddings")
 def shard_round_trip(spark, sf):
     """Flat shards written per label and rebuilt into rows of two."""
-    path = scratch(spark, "shards")
+    path = new_folder(spark, "shards")
     e = table(spark, sf, "embeddings")
     op.shards(e, "vec_id", "embedding").write.parquet(path)
     s = spark.read.parquet(path)
@@ -72,7 +65,7 @@ def shard_round_trip(spark, sf):
 
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM documents) GROUP BY 1")
 def split_routing(spark, sf):
-    path = scratch(spark, "splits")
+    path = new_folder(spark, "splits")
     d = table(spark, sf, "documents", "doc_id")
     op.write_split(d.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "val").otherwise("train")), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -94,7 +87,7 @@ def run_report(spark, sf):
 @query("SELECT 0 AS n_left, 0 AS n_right, (SELECT count(*) FROM nation) AS n")
 def verify_equal(spark, sf):
     """A table against its copy through JSON: rows that either side lacks."""
-    path = scratch(spark, "verify")
+    path = new_folder(spark, "verify")
     n = table(spark, sf, "nation")
     n.write.json(path)
     m = op.mismatches(n, spark.read.schema(n.schema).json(path))

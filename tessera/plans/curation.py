@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.assignment import assignment_cost, cleaned_reference, two_sided_p
-from tessera.plans.metrics import bits, paired_delta
+from tessera.operators.numbering import numbered_in, quantiles
+from tessera.operators.relational import one_to_one
+from tessera.plans.metrics import SYSTEMS, bits, paired_delta
 from tessera.registry import query
 from tessera.sources.tables import table
 
@@ -17,11 +19,17 @@ def choose_record(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min_by("o_orderkey", F.struct(-F.col("o_totalprice"), F.col("o_orderkey"))).alias("chosen"), F.min("o_orderdate").alias("first_date"))
 
 
-@query("SELECT source, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids, CAST(count(DISTINCT lang) AS BIGINT) AS langs, arg_min(lang, doc_id) FILTER (WHERE lang <> '') AS first_lang FROM documents GROUP BY 1")
+@query(
+    "WITH r AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS pos, doc_id, lang FROM documents), "
+    "g AS (SELECT source, count(DISTINCT lang) AS langs, arg_min(lang, doc_id) FILTER (WHERE lang <> '') AS first_lang FROM documents GROUP BY 1) "
+    "SELECT source, pos, doc_id, CAST(langs AS BIGINT) AS langs, first_lang FROM r JOIN g USING (source)"
+)
 def group_by_reference(spark, sf):
-    """Ordered members, distinct values and the first non-empty one of each reference."""
-    g = table(spark, sf, "documents", "source", "doc_id", "lang").groupBy("source")
-    return g.agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"), F.countDistinct("lang").alias("langs"), F.min_by("lang", F.when(F.col("lang") != "", F.col("doc_id"))).alias("first_lang"))
+    """Members of each reference in order, a row each, with its distinct values and its first non-empty one."""
+    d = table(spark, sf, "documents", "source", "doc_id", "lang")
+    g = d.groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.min_by("lang", F.when(F.col("lang") != "", F.col("doc_id"))).alias("first_lang"))
+    placed = numbered_in(d.select("source", "doc_id"), ["source"], [F.col("doc_id")], "pos")
+    return placed.join(F.broadcast(g) if g.count() <= 500_000 else g, "source").select("source", "pos", "doc_id", "langs", "first_lang")
 
 
 TRUE = "b AS (SELECT vec_id, label, CAST(unnest(range(0, 64)) AS INTEGER) AS col, unnest(CAST(embedding AS DOUBLE[])) AS e FROM embeddings), bits AS (SELECT vec_id, label, col, 1 / (1 + exp(-e * 8)) AS p, CAST(e > 0.02 AS INTEGER) AS y FROM b), t AS (SELECT vec_id, col // 8 AS k, sum(y) AS ny, sum(CAST(p >= 0.5 AS INTEGER)) AS nh FROM bits GROUP BY ALL)"
@@ -42,9 +50,13 @@ def assignment_of_lists(spark, sf):
     return g.select("l_orderkey", F.round(assignment_cost("a", "b"), 6).alias("cost"))
 
 
-@query()
+@query(
+    f"WITH {SYSTEMS}, t AS (SELECT count(*) AS n, avg(b - a) / (stddev_samp(b - a) / sqrt(count(*))) AS t FROM s), "
+    "x AS (SELECT n, t, unnest(range(0, 20001)) AS i FROM t) "
+    "SELECT n, round(any_value(t), 5) AS t, round(2 * 0.0005 / 3 * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(abs(round(t, 5)) + i * 0.0005) * (abs(round(t, 5)) + i * 0.0005) / 2)) / sqrt(2 * pi()), 6) AS p FROM x GROUP BY n"
+)
 def paired_delta_p(spark, sf):
-    """Two-sided normal p of the paired difference."""
+    """Two-sided normal p of the paired difference; the twin integrates the bell."""
     return paired_delta(spark, sf).select("n", "t", F.round(two_sided_p("t"), 6).alias("p"))
 
 
@@ -59,7 +71,8 @@ def reference_cleanup(spark, sf):
 def group_minimum_tail(spark, sf):
     """Each group's minimum among clean rows, then the share under a floor."""
     m = table(spark, sf, "lineitem").where("l_discount > 0").groupBy("l_orderkey", "l_returnflag").agg(F.min("l_quantity").alias("m"))
-    return m.groupBy("l_returnflag").agg(F.round(F.percentile("m", F.lit(0.5)), 6).alias("median_min"), F.round(F.avg((F.col("m") < 5).cast("int")), 6).alias("tail"))
+    mid = quantiles(m, ["l_returnflag"], "m", [0.5], ["q"]).select("l_returnflag", F.round("q", 6).alias("median_min"))
+    return m.groupBy("l_returnflag").agg(F.round(F.avg((F.col("m") < 5).cast("int")), 6).alias("tail")).join(mid, "l_returnflag").select("l_returnflag", "median_min", "tail")
 
 
 @query("SELECT user_id, coalesce(min(r) FILTER (WHERE event_type = 'purchase' AND r <= 10), 10) AS first_hit, coalesce(min(r) FILTER (WHERE value > 99), -1) AS rare_hit FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) GROUP BY 1")
@@ -89,9 +102,9 @@ def sharded_mean(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum(F.length("text")), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("mean_chars"), F.count_if(F.contains("text", F.lit("?"))).alias("questions"))
 
 
-@query("SELECT a.l_orderkey, CAST((SELECT 1) AS INTEGER) AS one, count(*) AS joined FROM lineitem a JOIN orders o ON a.l_orderkey = o.o_orderkey GROUP BY a.l_orderkey")
+@query("SELECT o_orderkey, o_custkey, l.n AS lines, round(l.revenue, 4) AS revenue, (SELECT count(*) FROM orders) AS n_left, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_right, (SELECT count(*) FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey) AS n_joined FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS revenue FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey")
 def validated_merge(spark, sf):
-    """Inner join whose right side must be unique on the key; a repeated key is an error."""
-    o = table(spark, sf, "orders", "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("c"))
-    o = o.select("o_orderkey", F.when(F.col("c") == 1, F.lit(1)).otherwise(F.raise_error(F.concat(F.lit("repeated key "), "o_orderkey")).cast("int")).alias("one"))
-    return table(spark, sf, "lineitem", "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.max("one").alias("one"), F.count(F.lit(1)).alias("joined"))
+    """One-to-one inner join of orders with their totals: a key repeated on either side is an error; counts before and after."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 4).alias("revenue"))
+    return one_to_one(o, l.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")

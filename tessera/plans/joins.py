@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import features as fop
 from tessera.operators import relational as op
-from tessera.plans.features import BANK, docs, parts
+from tessera.operators import similarity as sim
+from tessera.operators.bank import bank_of
+from tessera.operators.numbering import numbered, quantiles
+from tessera.operators.passages import verbatim
+from tessera.plans.features import BANK, docs
 from tessera.registry import query
 from tessera.sources.tables import table
 
@@ -58,14 +61,8 @@ SPLIT = (
 
 
 def _leaks(spark, sf):
-    """(doc_id, item_id): verbatim passages, found through three whole words inside before the exact test."""
-    d, b = docs(spark, sf), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # the third to fifth words of a passage are whole wherever it is verbatim, whatever stands around it
-    word = lambda c: F.split(c, "[ \n]+")
-    keyed = b.withColumn("w", F.concat_ws(" ", F.slice(word(F.col("passage")), 3, 3)))
-    tri = F.expr("transform(array(split(text, '[ \\n]+')), a -> array_distinct(transform(sequence(1, greatest(size(a) - 2, 1)), i -> concat_ws(' ', slice(a, i, 3)))))[0]")
-    hits = d.select("doc_id", F.explode(tri).alias("w")).join(F.broadcast(keyed.select("item_id", "w")), "w").select("doc_id", "item_id").distinct()
-    return hits.join(d, "doc_id").join(b, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    """(doc_id, item_id): documents that hold a passage verbatim."""
+    return verbatim(docs(spark, sf), table(spark, sf, "benchmark", "item_id", "text"))
 
 
 @query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -136,9 +133,8 @@ def modality_power_set(spark, sf):
 
 @query(f"WITH {BANK}, k AS (SELECT doc_id, list_sort(list(col)) AS cols FROM bank GROUP BY 1), g AS (SELECT cols, count(*) AS n FROM k GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows_, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS n_in_tie, max(n) AS largest FROM g")
 def tie_groups(spark, sf):
-    """Rows with the same set of columns."""
-    k = parts(spark, sf)[2].groupBy("doc_id").agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    g = k.groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
+    """Rows with the same set of columns: equal packed bits; empty rows, which the posting form lacks, are left out."""
+    g = bank_of(spark, sf).rows.where("nnz > 0").groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows_"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_in_tie"), F.max("n").alias("largest"))
 
 
@@ -146,7 +142,9 @@ def tie_groups(spark, sf):
 def tie_group_span_bins(spark, sf):
     g = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.when(F.count("p_retailprice") < 2, 0.0).otherwise(F.max("p_retailprice") - F.min("p_retailprice")).alias("span"))
     b = F.when(F.col("span") < 50, "[0,50)").when(F.col("span") < 200, "[50,200)").otherwise("[200,)")
-    return g.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"), F.round(F.median("span"), 6).alias("median_span"))
+    g = g.withColumn("bin", b)
+    mid = quantiles(g, ["bin"], "span", [0.5], ["m"]).select("bin", F.round("m", 6).alias("median_span"))
+    return g.groupBy("bin").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members")).join(mid, "bin")
 
 
 @query(
@@ -160,12 +158,10 @@ def pairs_within_group(spark, sf):
     g = docs(spark, sf).select(F.md5("text").alias("gid"), "doc_id").withColumn("r", F.row_number().over(w)).where("r <= 5")
     a, b = g.select("gid", F.col("doc_id").alias("i")), g.select("gid", F.col("doc_id").alias("j"))
     p = a.join(b, "gid").where("i < j").select("i", "j")
-    postings = parts(spark, sf)[2]
-    u, v = postings.toDF("i", "col"), postings.toDF("j", "col")
-    x = p.join(u, "i").join(v, ["j", "col"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("inter"))
-    n = fop.row_sizes(docs(spark, sf), postings)
-    full = p.join(x, ["i", "j"], "left").join(n.toDF("i", "a"), "i").join(n.toDF("j", "b"), "j").withColumn("m", F.coalesce("inter", F.lit(0)))
-    return full.select("i", "j", F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(F.round(F.col("m") / (F.col("a") + F.col("b") - F.col("m")), 6)).alias("tanimoto"))
+    rows = bank_of(spark, sf).rows
+    both = p.join(rows.select(F.col("doc_id").alias("i"), F.col("bits").alias("u"), F.col("nnz").alias("a")), "i").join(rows.select(F.col("doc_id").alias("j"), F.col("bits").alias("v"), F.col("nnz").alias("b")), "j")
+    m = sim.common_bits("u", "v")
+    return both.select("i", "j", F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(F.round(m / (F.col("a") + F.col("b") - m), 6)).alias("tanimoto"))
 
 
 LINES = "ln(center, kind) AS (VALUES (10000.0, 'line'), (30000.0, 'line'), (50000.0, 'line'), (20500.0, 'control'), (40500.0, 'control'))"
@@ -224,9 +220,11 @@ def prefix_key_membership(spark, sf):
     return c.join(s, "prefix", "left").select("prefix", "n", F.coalesce(F.col("hit") * F.col("n"), F.lit(0)).alias("listed"))
 
 
-@query("WITH b AS (SELECT max(p_partkey) AS m FROM part), s AS (SELECT DISTINCT s_name AS key FROM supplier) SELECT key, m + row_number() OVER (ORDER BY key) AS id FROM s, b")
+@query("WITH b AS (SELECT s_name AS key, s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0) SELECT key, (SELECT max(id) FROM b) + row_number() OVER (ORDER BY key) AS id FROM (SELECT DISTINCT s_name AS key FROM supplier) k ANTI JOIN b USING (key)")
 def append_new_ids(spark, sf):
-    """New keys continue the ids, in key order; ranked per range so that no task sorts them all."""
-    top = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0
-    keys = table(spark, sf, "supplier").select(F.col("s_name").alias("key")).distinct().orderBy("key")
-    return keys.rdd.map(lambda r: r[0]).zipWithIndex().toDF("key string, i long").select("key", (F.col("i") + F.lit(top + 1)).alias("id"))
+    """Keys that the bank lacks continue its ids in key order."""
+    s = table(spark, sf, "supplier", "s_name", "s_suppkey")
+    bank = s.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("key"), F.col("s_suppkey").alias("id"))
+    top = bank.agg(F.max("id")).first()[0] or 0
+    new = s.select(F.col("s_name").alias("key")).distinct().join(bank, "key", "left_anti")
+    return numbered(new, [F.col("key")], "id", top + 1).select("key", "id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import relational as op
+from tessera.operators.numbering import average_ranked, quantiles
 from tessera.plans.retrieval import predictions
 from tessera.registry import query
 from tessera.sources.tables import table
@@ -40,7 +42,12 @@ def reliability_bins(spark, sf):
     return bits(spark, sf).groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("conf"), F.round(F.avg("y"), 6).alias("acc"))
 
 
-@query()
+@query(
+    f"WITH {BITS}, t AS (SELECT round(p, 2) AS v, count(*) AS c, CAST(sum(y) AS BIGINT) AS pos FROM bits GROUP BY 1), "
+    "s AS (SELECT a.v AS lo, b.v AS hi, sum(x.pos) / sum(x.c) AS m FROM t a JOIN t b ON b.v >= a.v JOIN t x ON x.v BETWEEN a.v AND b.v GROUP BY ALL), "
+    "f AS (SELECT t.v, s.lo, min(s.m) AS m FROM t JOIN s ON s.lo <= t.v AND s.hi >= t.v GROUP BY ALL) "
+    "SELECT t.v, c, round(pos / c, 6) AS rate, round((SELECT max(m) FROM f WHERE f.v = t.v), 6) AS fit FROM t"
+)
 def isotonic_fit(spark, sf):
     """Weighted isotonic regression of the tabulated rate on confidence; monotone and within [0, 1]."""
     from pyspark.ml.feature import VectorAssembler
@@ -112,8 +119,9 @@ def count_delta_bins(spark, sf):
 
 @query("WITH r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY embedding[1]) + (count(*) OVER (PARTITION BY label, embedding[1]) - 1) / 2 AS a, rank() OVER (PARTITION BY label ORDER BY embedding[2]) + (count(*) OVER (PARTITION BY label, embedding[2]) - 1) / 2 AS b FROM embeddings) SELECT label, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
 def spearman_pairs(spark, sf):
+    """Rank correlation of two components of the vectors (stand-ins for two measures of a row), by label."""
     e = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    r = e.select("label", op.average_rank("label", "x").alias("a"), op.average_rank("label", "y").alias("b"))
+    r = average_ranked(average_ranked(e, ["label"], "x", "a"), ["label"], "y", "b")
     return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
@@ -151,8 +159,9 @@ def source_modality_pivot(spark, sf):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.05), 6) AS p5, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
 def percentiles(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", [0.05, 0.5, 0.95]).alias("p"))
-    return g.select("l_returnflag", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
+    names = ("p5", "p50", "p95")
+    g = quantiles(table(spark, sf, "lineitem", "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", [0.05, 0.5, 0.95], list(names))
+    return g.select("l_returnflag", *[F.round(n, 6).alias(n) for n in names])
 
 
 SYSTEMS = "s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
@@ -175,16 +184,38 @@ def paired_delta(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.stddev_samp("d"), 6).alias("sd"), F.round(se, 6).alias("se"), F.round(F.avg("d") / se, 5).alias("t"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
 
 
-@query()
+#: Poisson(1) cumulative probabilities, fixed values.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
+
+
+def poisson_weights(ids: np.ndarray, replicates: int) -> np.ndarray:
+    """(rows x replicates) Poisson(1) weights from a multiplicative hash of (row, replicate), the same on any machine."""
+    x = (ids[:, None] * 48271 + np.arange(replicates)[None, :] * 69621 + 12345) % 2147483647
+    x = (x * 16807) % 2147483647
+    x = (x * 48271) % 2147483647
+    return np.searchsorted(np.array(POISSON), x / 2147483647, side="right")
+
+
+def _replicates(batches):
+    for b in batches:
+        for s in range(0, b.num_rows, 4096):
+            ids, d = (b.column(i).slice(s, 4096).to_numpy(zero_copy_only=False) for i in (0, 1))
+            w = poisson_weights(ids, 200)
+            yield pa.RecordBatch.from_arrays([pa.array(range(200), pa.int32()), pa.array(w.sum(0), pa.int64()), pa.array(d @ w)], ["rep", "w", "wd"])
+
+
+@query(
+    f"WITH {SYSTEMS}, r AS (SELECT vec_id, b - a AS d, unnest(range(0, 200)) AS rep FROM s), x AS (SELECT rep, d, (((vec_id * 48271 + rep * 69621 + 12345) % 2147483647 * 16807) % 2147483647 * 48271) % 2147483647 / 2147483647 AS u FROM r), "
+    f"w AS (SELECT rep, d, {' + '.join(f'CAST(u >= {c} AS INTEGER)' for c in POISSON)} AS w FROM x), m AS (SELECT rep, sum(w * d) / sum(w) AS m FROM w GROUP BY 1) "
+    "SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CAST(m <= 0 AS INTEGER)), 6) AS p_le_0 FROM m"
+)
 def bootstrap_ci(spark, sf):
-    """Paired bootstrap of the mean difference: Poisson(1) weights from a hash of (replicate, row), summed in one pass.
+    """Paired bootstrap of the mean difference of two components of the vectors: 200 Poisson-weighted means.
 
-    Each row meets 200 replicates as columns of one aggregate, so nothing is multiplied or shuffled but sums.
+    A task adds up each replicate's weights over its rows as a matrix product, so 200 rows a batch leave it.
     """
     d = systems(spark, sf).select("vec_id", (F.col("b") - F.col("a")).alias("d"))
-    cut = [0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406]
-    reps = d.select("d", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda r: F.aggregate(F.array(*[F.lit(c) for c in cut]), F.lit(0), lambda s, c: s + (F.pmod(F.xxhash64(r, "vec_id"), F.lit(1_000_000)) / 1_000_000.0 >= c).cast("int"))).alias("w"))
-    one = reps.select("d", F.posexplode("w").alias("rep", "w")).groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    one = d.mapInArrow(_replicates, "rep int, w long, wd double").groupBy("rep").agg((F.sum("wd") / F.sum("w")).alias("m"))
     return one.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"), F.round(F.avg((F.col("m") <= 0).cast("int")), 6).alias("p_le_0"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import relational as op
-from tessera.operators.numbering import running_before
+from tessera.operators.numbering import average_ranked, numbered_in, running_before
 from tessera.registry import query
 from tessera.sources.tables import table
 
@@ -25,25 +25,24 @@ def running_offsets(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2 AS avg_rank FROM lineitem")
 def average_ranks(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", op.average_rank("l_orderkey", "l_quantity").alias("avg_rank"))
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    return average_ranked(li, ["l_orderkey"], "l_quantity", "avg_rank").select("l_orderkey", "l_linenumber", "l_quantity", "avg_rank")
 
 
 @query("SELECT doc_id, coalesce(l.quality, 99) AS prior, row_number() OVER (PARTITION BY source ORDER BY coalesce(l.quality, 99), md5(concat('q', CAST(doc_id AS VARCHAR)))) AS pos FROM documents LEFT JOIN labels l USING (doc_id)")
 def stable_order_keep(spark, sf):
     """Rows known before come first in their order; new ones follow in hash order."""
     d = table(spark, sf, "documents", "doc_id", "source").join(table(spark, sf, "labels", "doc_id", "quality"), "doc_id", "left")
-    w = Window.partitionBy("source").orderBy(F.coalesce("quality", F.lit(99)), op.hash_order(F.col("doc_id"), "q"))
-    return d.select("doc_id", F.coalesce("quality", F.lit(99)).alias("prior"), F.row_number().over(w).cast("long").alias("pos"))
+    d = d.select("doc_id", "source", F.coalesce("quality", F.lit(99)).alias("prior"), op.hash_order(F.col("doc_id"), "q").alias("h"))
+    return numbered_in(d, ["source"], [F.col("prior"), F.col("h")], "pos").select("doc_id", "prior", (F.col("pos") + 1).alias("pos"))
 
 
 @query("WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part), s AS (SELECT unnest(range(0, 5)) AS i) SELECT p_brand, CAST(i AS INTEGER) AS i, p_partkey FROM r JOIN s ON r.r = floor(i * (n - 1) / 4)")
 def evenly_spaced_strata(spark, sf):
     """Five evenly spaced members of each brand's price order."""
-    w = Window.partitionBy("p_brand")
-    r = table(spark, sf, "part").select("p_partkey", "p_brand", (F.row_number().over(w.orderBy("p_retailprice", "p_partkey")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    at = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    s = r.select("p_brand", "n").distinct().select("p_brand", at.alias("i"), "n").select("p_brand", "i", F.floor(F.col("i") * (F.col("n") - 1) / 4).alias("r"))
-    return r.select("p_partkey", "p_brand", "r").join(s, ["p_brand", "r"]).select("p_brand", "i", "p_partkey")
+    r = numbered_in(table(spark, sf, "part", "p_partkey", "p_brand", "p_retailprice"), ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")], "r")
+    strata = F.expr("filter(sequence(0, 4), i -> floor(i * (r_of - 1) / 4) = r)")
+    return r.select("p_brand", F.explode(strata).alias("i"), "p_partkey")
 
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 4 AS INTEGER) AS shard FROM orders")
