@@ -220,13 +220,17 @@ def safe(x: Column) -> Column:
     return F.when(x < 1e-9, 0.0).otherwise(x)
 
 
+def _same_length(a: str, b: str, value: Column) -> Column:
+    """``value`` of two arrays; null or empty ones score 0, a difference in length is an error."""
+    either = F.coalesce(F.size(a), F.lit(-1)) <= 0
+    return F.when(F.coalesce(F.size(a) != F.size(b), F.lit(False)), F.raise_error(F.lit("arrays differ in length")).cast("double")).when(either | F.col(b).isNull(), 0.0).otherwise(value)
+
+
 def safe_cosine(a: str, b: str) -> Column:
-    """Clamped cosine of two arrays; of different length, empty or null: 0."""
-    fits = F.coalesce((F.size(a) == F.size(b)) & (F.size(a) > 0), F.lit(False))
-    return F.when(fits, safe(F.try_divide(dot(a, b), norm(a) * norm(b)))).otherwise(0.0)
+    """Cosine clamped to [0, 1]."""
+    return _same_length(a, b, safe(F.try_divide(dot(a, b), norm(a) * norm(b))))
 
 
 def safe_tanimoto(a: str, b: str) -> Column:
-    """Clamped generalised Tanimoto; of different length, empty or null: 0."""
-    fits = F.coalesce((F.size(a) == F.size(b)) & (F.size(a) > 0), F.lit(False))
-    return F.when(fits, safe(F.try_divide(dot(a, b), dot(a, a) + dot(b, b) - dot(a, b)))).otherwise(0.0)
+    """Generalised Tanimoto clamped to [0, 1]."""
+    return _same_length(a, b, safe(F.try_divide(dot(a, b), dot(a, a) + dot(b, b) - dot(a, b))))
