@@ -64,3 +64,53 @@ def first_failure(reasons: dict[str, Column]) -> Column:
     for name, bad in reasons.items():
         out = F.when(bad, name) if out is None else out.when(bad, name)
     return out.otherwise("kept")
+
+
+def has_any(df: DataFrame, have: str, inputs: list[str], spectral: tuple[str, ...]) -> DataFrame:
+    """Rows whose list of modalities holds any spectral one of ``inputs``."""
+    wanted = [x for x in inputs if x in spectral]
+    return df.where(F.arrays_overlap(have, F.array(*[F.lit(x) for x in wanted])) if wanted else F.lit(False))
+
+
+def has_all(df: DataFrame, have: str, required: list[str], never: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose list of modalities holds all of ``required`` but those that never gate."""
+    wanted = F.array(*[F.lit(x) for x in required if x not in never]).cast("array<string>")
+    return df.where(F.size(F.array_except(wanted, have)) == 0)
+
+
+def _known(df: DataFrame, column: str, what: str) -> None:
+    if df.where(F.col(column).isNotNull()).limit(1).count() == 0:
+        raise ValueError(f"the bank has no {what} to filter by")
+
+
+def range_filter(df: DataFrame, column: str, lo: float | None, hi: float | None) -> DataFrame:
+    """Both ends count, unknown values are kept; no bound keeps all, no value at all is an error."""
+    if lo is None and hi is None:
+        return df
+    if lo is not None and hi is not None and lo > hi:
+        raise ValueError("the lower bound exceeds the upper one")
+    _known(df, column, column)
+    ok = (F.col(column) >= lo if lo is not None else F.lit(True)) & (F.col(column) <= hi if hi is not None else F.lit(True))
+    return df.where(F.col(column).isNull() | ok)
+
+
+def count_filter(df: DataFrame, column: str, bounds: dict[str, tuple[int | None, int | None]]) -> DataFrame:
+    """Rows of a count map with every element (absent: 0) within its bounds; unknown maps are kept, no map at all is an error."""
+    if not bounds:
+        return df
+    for name, (lo, hi) in bounds.items():
+        if lo is None and hi is None or lo is not None and hi is not None and lo > hi:
+            raise ValueError(f"bounds of {name}: a minimum or a maximum, in order")
+    _known(df, column, column)
+    ok = F.lit(True)
+    for name, (lo, hi) in bounds.items():
+        n = F.coalesce(F.try_element_at(column, F.lit(name)), F.lit(0))
+        ok = ok & (n >= lo if lo is not None else F.lit(True)) & (n <= hi if hi is not None else F.lit(True))
+    return df.where(F.col(column).isNull() | ok)
+
+
+def blanked(df: DataFrame, listed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` null where the key is listed, and whether it was."""
+    marked = df.join(listed.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    hit = F.col("_hit").isNotNull()
+    return marked.select(*[F.when(~hit, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns], hit.alias("blanked"))
