@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 
 #: Graphs of at most this many edges are closed by one task (16 MB of edges); larger ones are contracted first.
 FINISH_EDGES = 1_000_000
+#: Arrow batches end at this size as well as at their number of rows, so that long texts don't make huge ones.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,6 +37,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(BATCH_CONF) == "67108864b":  # only Spark's own default is lowered
+            spark.conf.set(BATCH_CONF, BATCH_BYTES)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -48,6 +55,20 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def tidy(run):
+    """A ``mapInArrow`` function that hands its memory back when its task ends; workers outlive tasks and take turns."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
+
+    return tidied
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,7 +103,7 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root] if len(nodes) else nodes
 
 
-def _forest(batches):
+def forest(batches):
     """Edges of one partition -> a star for each component that they form; bounded by windows of edges."""
     us, vs, held = [], [], 0
 
@@ -112,9 +133,11 @@ def _roots(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + 50_000]), pa.array(root[s : s + 50_000])], ["node", "root"])
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, finish_edges: int = FINISH_EDGES, stars: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long); root is some node of the component.
 
+    ``stars``: whoever made the edges has put them through ``forest`` already, in the same worker.
+
     Each round replaces a partition's edges by stars, hooks every node to the neighbour that comes
     first in an order salted by the round, and contracts: at least half the nodes that are not first
     among their neighbours go, whatever the graph's shape, so rounds grow with the logarithm of its
@@ -122,7 +145,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, finish_edges: int =
     """
     spark, n = scratch.spark, 0
     parts = shuffle_partitions(spark)
-    e = scratch.save(edges.where("u <> v").mapInArrow(_forest, "u long, v long"), "edges0")
+    e = scratch.save(edges if stars else edges.where("u <> v").mapInArrow(tidy(forest), "u long, v long"), "edges0")
     maps: list[DataFrame] = []
     while (left := e.count()) > finish_edges:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,10 +155,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, finish_edges: int =
         maps.append(hook)
         moved = e.join(hook.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(hook.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
         moved = moved.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        e = scratch.save(moved.mapInArrow(_forest, "u long, v long"), f"edges{n + 1}")
+        e = scratch.save(moved.mapInArrow(tidy(forest), "u long, v long"), f"edges{n + 1}")
         scratch.drop(f"edges{n}")
         n += 1
-    last = scratch.save(e.coalesce(1).mapInArrow(_roots, "node long, root long"), "roots") if left else None
+    last = scratch.save(e.coalesce(1).mapInArrow(tidy(_roots), "node long, root long"), "roots") if left else None
     out = None
     for m in maps:
         out = m if out is None else scratch.save(out.join(m.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root")).repartition(parts, "node"), f"map{len(maps)}-{id(m)}")

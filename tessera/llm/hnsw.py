@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, shuffle_partitions
+from tessera.llm.common import Scratch, shuffle_partitions, tidy
 
 SHARD = 8192
 DEGREE = 16
@@ -256,7 +256,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF, id_co
     shards = index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
     q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))  # each block against every shard
     met = index.join(q, ["shard", "dim"]).select("shard", "dim", "vectors", "owner", "ids", "levels", "links", "query_ids", "queries")
-    found = met.mapInArrow(_search(k, ef), "query_id long, vec_id long, score double")
+    found = met.mapInArrow(tidy(_search(k, ef)), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, texts_of
+from tessera.llm.common import Scratch, texts_of, tidy
 
 BUCKETS = 1 << 16
 KAPPA = 8.0
@@ -93,7 +93,7 @@ class Model:
 
 def fit(labelled: DataFrame, label_col: str = "lang", text_col: str = "text") -> Model:
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).cast("string").alias("t"))
-    counts = rows.mapInArrow(_counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_counts), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most languages x BUCKETS rows
     names = found.column("label").to_pylist()
     langs = sorted(set(names))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math|noscript|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -227,7 +229,7 @@ def _extract(batches):
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

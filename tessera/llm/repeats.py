@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, shuffle_partitions, texts_of
+from tessera.llm.common import Scratch, shuffle_partitions, texts_of, tidy
 
 LEAST = 400
 GRAM = 64
@@ -314,7 +314,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = keep == "first"
     texts = _keyed(df, id_col, text_col)
     long_enough = texts.where(F.octet_length("t") >= least)
-    found = long_enough.mapInArrow(_anchors(least, gram), ANCHOR)
+    found = long_enough.mapInArrow(tidy(_anchors(least, gram)), ANCHOR)
     found = scratch.save(found.distinct() if first else found, "anchors")
 
     # buckets: which grams occur again, and whether in more than one context
@@ -340,22 +340,22 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))
     once = long_enough.join(asked, same).select("id", "h", "t", "spots")
     # rows equal in id and text bring each context once
-    bodies = once.mapInArrow(_contexts(least, gram), CONTEXT).dropDuplicates(["gram", "id", "h", "first", "at"])
+    bodies = once.mapInArrow(tidy(_contexts(least, gram)), CONTEXT).dropDuplicates(["gram", "id", "h", "first", "at"])
     bodies = scratch.save(bodies, "bodies")
     crowd = scratch.save(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("gram"), "crowd")
     crowded = crowd.count()
     calm = bodies.join(crowd, "gram", "left_anti") if crowded else bodies
-    matched = calm.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_matches(least, keep), "id long, h long, start long, end long")
+    matched = calm.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(tidy(_matches(least, keep)), "id long, h long, start long, end long")
     spans = settled.union(matched)
     if crowded:
-        windows = scratch.save(bodies.join(crowd, "gram", "left_semi").mapInArrow(_windows(least), "key long, id long, h long, start long").distinct(), "windows")
+        windows = scratch.save(bodies.join(crowd, "gram", "left_semi").mapInArrow(tidy(_windows(least)), "key long, id long, h long, start long").distinct(), "windows")
         own = F.struct("id", "h", "start")
         repeated = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1").select("key", "least")
         again_there = windows.join(scratch.save(repeated, "repeated"), "key")
         again_there = again_there.where(~own.eqNullSafe(F.col("least"))) if first else again_there
         spans = spans.union(again_there.select("id", "h", "start", (F.col("start") + least).alias("end")))
     gathered = spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = scratch.save(gathered.mapInArrow(_spans_of_text, "id long, h long, spans array<struct<start:long,end:long>>"), "spans")
+    out = scratch.save(gathered.mapInArrow(tidy(_spans_of_text), "id long, h long, spans array<struct<start:long,end:long>>"), "spans")
     scratch.drop("anchors", "grams", "met", "contexts", "asked", "bodies", "crowd", "windows", "repeated")
     return out
 
@@ -403,7 +403,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeated_spans(df, id_col, text_col, **options)
     rest = [c for c in df.columns if c != text_col]
     fields = ", ".join(["_text string", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)])
-    out = _with_spans(df, id_col, text_col, spans, rest).mapInArrow(_cut_rows, fields)
+    out = _with_spans(df, id_col, text_col, spans, rest).mapInArrow(tidy(_cut_rows), fields)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
@@ -420,4 +420,4 @@ def _digests(batches):
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = repeated_spans(docs, keep="none")
-    return _with_spans(docs, "doc_id", "text", spans, []).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, "doc_id", "text", spans, []).mapInArrow(tidy(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, shuffle_partitions
+from tessera.llm.common import Scratch, shuffle_partitions, tidy
 
 LENGTH = 1024
 BATCH = 256
@@ -302,7 +302,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the files; lazily gives a row per pair of files (``META``), which the caller must materialise once."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", "text")
-    return rows.mapInArrow(_writer(tokenizer, folder, end_id, length, most), META)
+    return rows.mapInArrow(tidy(_writer(tokenizer, folder, end_id, length, most)), META)
 
 
 def _reader(batches):
@@ -317,7 +317,7 @@ def read(files: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files; ``start`` counts the ids of all documents before."""
     earlier = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per pair of files
     placed = files.select("path", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
-    return placed.repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(tidy(_reader), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, tidy
 
 TRAIN_ROWS = 20_000
 FEATURES = 3_000
@@ -261,16 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if not total or not bad or bad == total:
         return None
     texts = docs.select(F.col(text_col).cast("string").alias("t"))
-    grams = texts.mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = texts.mapInArrow(tidy(_trigrams), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast({r.g: r.n for r in grams.collect()})  # no more than the alphabet cubed
-    counts = sample.mapInArrow(_feature_counts(shared), "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = sample.mapInArrow(tidy(_feature_counts(shared)), "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     base = bad / total
     rate = F.col("bad") / F.col("n")
     gain = F.col("bad") * F.log(F.greatest(rate, F.lit(1e-9)) / base) + (F.col("n") - F.col("bad")) * F.log(F.greatest(1 - rate, F.lit(1e-9)) / (1 - base))
     telling = counts.where((F.col("n") >= LEAST_DOCS) & (rate > min(3 * base, (1 + base) / 2))).select("f", gain.alias("gain")).orderBy(F.desc("gain"), "f").limit(FEATURES)
     names = [r.f for r in telling.collect()]
     chosen = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-    rows = sample.mapInArrow(_present(shared, chosen), "y int, at array<int>").collect()  # at most ``most`` rows
+    rows = sample.mapInArrow(tidy(_present(shared, chosen)), "y int, at array<int>").collect()  # at most ``most`` rows
     w, bias = logistic([r.at for r in rows], np.array([r.y for r in rows], float), len(names))
     return Model(shared.value, dict(zip(names, w.tolist())), bias)
 
@@ -293,7 +293,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     if model is None:
         return rows.select("id", F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "id long, score double")
+    return rows.mapInArrow(tidy(_scores(docs.sparkSession.sparkContext.broadcast(model))), "id long, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
