@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, connected_components, shuffle_partitions, texts_of
+from tessera.llm.common import Scratch, connected_components, forest, shuffle_partitions, texts_of, tidy
 
 CHUNK = 1024
 #: Chance partners per fingerprint that the choice of m allows.
@@ -66,7 +66,7 @@ def _fingerprints(batches):
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[Column] | None = None) -> DataFrame:
     """(id long, fp long, extra longs): one row for each row of ``df``."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(extra or []))
-    return rows.mapInArrow(_fingerprints, ", ".join(["id long", "fp long", *(f"{c} long" for c in rows.columns[2:])]))
+    return rows.mapInArrow(tidy(_fingerprints), ", ".join(["id long", "fp long", *(f"{c} long" for c in rows.columns[2:])]))
 
 
 def block_masks(m: int, max_bits: int) -> list[int]:
@@ -142,7 +142,7 @@ def _links(max_bits: int):
 
 
 def links(distinct: DataFrame, n: int, max_bits: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(u long, v long): links that connect exactly what Hamming distance ``max_bits`` connects.
+    """(u long, v long): stars that connect exactly what Hamming distance ``max_bits`` connects.
 
     ``distinct`` has distinct values in ``fp``; ``n`` is about their number.
     """
@@ -155,7 +155,7 @@ def links(distinct: DataFrame, n: int, max_bits: int = 4, chunk: int = CHUNK) ->
     met = met.withColumn("c", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("k")).cast("int"))
     met = met.select("fp", "key", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     group = F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("g")
-    return met.select(group, "fp").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_links(max_bits), "u long, v long")
+    return met.select(group, "fp").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(tidy(lambda batches: forest(_links(max_bits)(batches))), "u long, v long")
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
@@ -164,7 +164,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bi
     marked = scratch.save(fingerprints(df, id_col, text_col), "marked")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     n = distinct.count()
-    roots = connected_components(links(distinct, n, max_bits), scratch)
+    roots = connected_components(links(distinct, n, max_bits), scratch, stars=True)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.save(rooted, "rooted")
     least = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
@@ -178,7 +178,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = scratch.save(fingerprints(df, id_col, text_col, extra=[F.xxhash64(text).alias("h")]), "marked")
     distinct = scratch.save(marked.select("fp").distinct(), "distinct")
-    roots = connected_components(links(distinct, distinct.count(), max_bits), scratch)
+    roots = connected_components(links(distinct, distinct.count(), max_bits), scratch, stars=True)
     roots = scratch.save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots-of-all")
     rooted = scratch.save(marked.join(roots, "fp").groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n")), "rooted")
     first = scratch.save(rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first")), "first")
