@@ -114,3 +114,20 @@ def blanked(df: DataFrame, listed: DataFrame, key: str, columns: list[str]) -> D
     marked = df.join(listed.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
     hit = F.col("_hit").isNotNull()
     return marked.select(*[F.when(~hit, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns], hit.alias("blanked"))
+
+
+def dealt(place: Column, needs: list[tuple[str, int]], rest: str) -> Column:
+    """The split of a place (from 0) in a shuffled pool: the first rows to each split as many as it needs, the rest to ``rest``."""
+    out, top = None, 0
+    for name, n in needs:
+        top += n
+        out = F.when(place < top, name) if out is None else out.when(place < top, name)
+    return F.lit(rest) if out is None else out.otherwise(rest)
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """Shards of one shape laid together, repeats kept."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("features", "retrieval", "build", "joins", "metrics", "ordered", "scalars", "events", "curation", "shaping", "validation", "loading")
+PLANS = ("features", "retrieval", "build", "joins", "metrics", "ordered", "scalars", "events", "curation", "shaping", "validation", "loading", "reports")
 
 
 def query(sql: str | None = None) -> Callable:
