@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators.limiter import limited
-from tessera.registry import query
+from tessera.operators.shared import new_folder
+from tessera.registry import ORACLES, query
 from tessera.sources.tables import table
+from tessera.streaming.limiter import count_kinds, drained, rate_limited
 
 
 def hits(spark, sf):
@@ -57,3 +59,33 @@ def tumbling_counts(spark, sf):
 def queue_position(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'purchase'")
     return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("queued"))
+
+
+def _stream(spark, sf):
+    """Events as a stream of files, one file a micro-batch, in time order."""
+    folder = new_folder(spark, "events")
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = [r.d for r in e.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]  # 30 days
+    cut = [days[len(days) * i // 3] for i in (1, 2)] if len(days) >= 3 else []
+    part = F.lit(0)
+    for c in cut:
+        part = part + (F.to_date("ts") >= F.lit(c)).cast("int")
+    for i in range(len(cut) + 1):  # three files, so three flushes
+        e.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(ORACLES["fixed_window_limiter"])
+def stream_limiter(spark, sf):
+    """The limiter as a stream over three files: the last state of each user."""
+    stream = _stream(spark, sf).select("user_id", F.unix_seconds("ts").alias("sec"))
+    flushed = drained(spark, rate_limited(stream, 3600, 2), "limiter")
+    return flushed.groupBy("user_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("allowed", "rejected", "windows")])
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark, sf):
+    """Counters by kind and hour, flushed at each micro-batch; the last flush of each counts."""
+    flushed = drained(spark, count_kinds(_stream(spark, sf), "event_type", late="40 days"), "counts")
+    last = flushed.groupBy(F.col("w.start").alias("hour"), "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
