@@ -443,6 +443,41 @@ def test_main_text(spark):
     assert mincut.extracted(df.limit(0)).count() == 0
 
 
+def test_the_cut_decides():
+    """Pages on which the cut overrules a block's own odds, and the text is better for it."""
+    long = "<p>A long plain paragraph of running text, with several clauses, and commas, so that it is content.</p>"
+    page = f"{long}<div>Yes</div>{long}<div>So it went</div>{long}"
+    told = mincut.labelled(page, {})
+    assert [z < 0 for _, z, _ in told] == [False, True, False, True, False] and all(keep for _, _, keep in told)
+    links = "".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(6))
+    told = mincut.labelled(f"<ul>{links}<li>A line of some eighty characters, without a link; it stands in a list of them<li>{links}</ul>", {})
+    assert sum(z > 0 for _, z, _ in told) == 1 and not any(keep for _, _, keep in told)
+
+
+def test_main_text_keeps_what_is_text():
+    run = "Running text of the article, which goes on for a while, with commas, and ends here."
+    assert mincut.main_text("A plain text page, where a value x < 10 counts, and more text follows, in sentences.").endswith("in sentences.")
+    assert mincut.main_text(f"<article><p>{run}</p></article><p>{run} x < 10 counts, y > 3 too.</p>").endswith("x < 10 counts, y > 3 too.")
+    for name in ("legal", "search", "side", "skip", "form", "tags", "alert", "bottom"):
+        assert mincut.main_text(f"<article><p>{run}</p><div class='{name}'>A court ruling, and {run}</div><p>{run}</p></article>").count(run) == 3
+    for name in ("ad", "cookie-notice", "newsletter", "share-bar", "comments"):
+        assert mincut.main_text(f"<article><p>{run}</p></article><div class='{name}'>{run}</div>") == run
+    assert mincut.main_text(f"<article><p>{run} <math><mi>a</mi></math> <object>b</object></p></article>") == f"{run} a b"
+    whole = " ".join([run] * 20_000)
+    assert mincut.main_text(f"<nav><a href=/>Home</a></nav><article><p>{whole}</p></article>") == whole
+
+
+def test_words_are_learnt(spark):
+    run = "Running text of the article, which goes on for a while, with commas, and ends here."
+    pages = [(i, "u", f"<nav class='zqx'><a href=/>Home {i}</a></nav><article class='vwy'><p>{run} {i}</p></article>") for i in range(30)]
+    pages.append((99, "u", f"<div class='vwy'>{run}</div><div class='zqx'>Here we tell you, our reader, about us and them</div>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    learnt = mincut.learn(df)
+    assert learnt["zqx"] < 0 < learnt["vwy"] and mincut.learn(df.limit(0)) == {}
+    text = {r.page_id: r.text for r in mincut.extracted(df).collect()}
+    assert text[99] == run and text[3] == f"{run} 3"
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(8)
     for _ in range(60):
