@@ -34,6 +34,7 @@ from tessera.llm.common import Scratch, tidy
 TRAIN_ROWS = 20_000
 FEATURES = 3_000
 LEAST_DOCS = 5
+LEAST_GAIN = 6.0  # log likelihood that a feature's own rate gains over the base rate
 CACHE = 400_000
 LONG = 200  # tokens of more characters are read part by part and not remembered
 THRESHOLD = 0.7
@@ -222,7 +223,7 @@ def _present(shared, chosen):
     return run
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, width: int, penalty: float = 0.05, steps: int = 600) -> tuple[np.ndarray, float]:
+def logistic(rows: list[list[int]], y: np.ndarray, width: int, penalty: float = 0.02, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias by descent with momentum on sparse binary rows, each weight in steps of its own curvature bound."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     at = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     base = bad / total
     rate = F.col("bad") / F.col("n")
     gain = F.col("bad") * F.log(F.greatest(rate, F.lit(1e-9)) / base) + (F.col("n") - F.col("bad")) * F.log(F.greatest(1 - rate, F.lit(1e-9)) / (1 - base))
-    telling = counts.where((F.col("n") >= LEAST_DOCS) & (rate > min(3 * base, (1 + base) / 2))).select("f", gain.alias("gain")).orderBy(F.desc("gain"), "f").limit(FEATURES)
+    telling = counts.where(F.col("n") >= LEAST_DOCS).select("f", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "f").limit(FEATURES)  # of either sign
     names = [r.f for r in telling.collect()]
     chosen = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     rows = sample.mapInArrow(tidy(_present(shared, chosen)), "y int, at array<int>").collect()  # at most ``most`` rows
