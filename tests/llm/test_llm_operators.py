@@ -379,7 +379,7 @@ def test_mixing_probabilities_sum_to_one():
         word = b"ab" + bytes([c])
         per_word, bits, node, slots = mixing.letter_bits(model.letters, [word])
         x, gate = model.letter_inputs(node, slots)
-        p = 1 / (1 + np.exp(-(x * model.weights[gate]).sum(1)))
+        p = 1 / (1 + np.exp(-(x * model.sets[2][gate]).sum(1)))
         last = len(bits) - int(model.letters.lengths[c << 8 | mixing.BLANK])
         first = last - int(model.letters.lengths[ord("b") << 8 | c])
         total += np.prod(np.where(bits == 1, p, 1 - p)[first:last])
@@ -409,7 +409,22 @@ def test_mixing_against_a_loop():
             for g in np.unique(gate[part]):
                 own = gate[part] == g
                 w[g] += ((bits[part] - p)[own, None] * x[part][own]).sum(0) * mixing.RATE / np.sqrt(own.sum())
-    assert np.allclose(mixing.coded(*rng_inputs, None, text, 3, model.weights), want, atol=1e-3)
+    assert np.allclose(mixing.coded(*rng_inputs, text, 3, model.weights), want, atol=1e-3)
+
+    # the letters' sets: shares refined after every word
+    spelled = [b"abc", b"", b"abc", b"zz\xc3\xa9", b"abcd"]
+    logs = model.spelling(spelled)
+    share, loss = np.full(len(model.sets), 1 / len(model.sets)), 0.0
+    for row in 10**logs:
+        loss += np.log10((share * row).sum())
+        share = share * row / (share * row).sum()
+    sums = logs.sum(0)
+    assert loss == pytest.approx(np.log10(np.mean(10**sums)))
+    for v, weights in enumerate(model.sets):
+        per_word, bits, node, slots = mixing.letter_bits(model.letters, [b"abcd"])
+        x, gate = model.letter_inputs(node, slots)
+        p = 1 / (1 + np.exp(-(x * weights[gate]).sum(1)))
+        assert logs[4, v] == pytest.approx(np.log10(np.where(bits == 1, p, 1 - p)).sum(), abs=1e-4)
 
 
 def test_mixing_does_not_depend_on_partitions(spark):
