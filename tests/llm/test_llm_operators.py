@@ -270,6 +270,27 @@ def test_hnsw_recall_and_ties(spark):
     assert hnsw.search(common.Scratch(spark, "h").save(hnsw.build(none), "i"), none).count() == 0
 
 
+def test_hnsw_scores_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3.0, 3.0]), (3, [0.0, -5e-310]), (4, [1.0]), (50, [2e200, 2e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, round(r.score, 9)) for r in hnsw.search(hnsw.build(df), df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    half = round(0.5**0.5, 9)
+    assert got == [(0, 2, 1.0), (0, 50, 1.0), (0, 1, half), (0, 3, -half), (50, 0, 1.0), (50, 2, 1.0), (50, 1, half), (50, 3, -half)]
+
+
+def test_hnsw_recall_at_shard_size():
+    """A whole shard of clustered vectors against brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 64))
+    v = centres[rng.integers(0, 60, hnsw.SHARD)] + 0.4 * rng.normal(size=(hnsw.SHARD, 64))
+    levels, links = hnsw.build_graph(v)
+    unit = hnsw._unit(v)
+    q = np.arange(0, hnsw.SHARD, 50)
+    found = hnsw.walk(unit.astype(np.float32), levels, links, unit[q].astype(np.float32), hnsw.EF)
+    exact = np.argsort(-(unit[q] @ unit.T), axis=1)[:, :6]
+    assert sum(len(set(e) & set(f)) for e, f in zip(exact.tolist(), found.tolist())) / exact.size >= 0.9
+
+
 # ---------------------------------------------------------------- pieces
 
 
@@ -323,11 +344,46 @@ def test_pieces_long_units_as_short_ones():
             one, other = (pieces.Lattice(pieces.vocabulary_path(), alpha) for _ in range(2))
             one.add([unit])
             other.add_long(unit)
-            assert np.array_equal(one.code, other.code) and np.array_equal(one.back, other.back)
-            assert np.allclose(one.share, other.share, rtol=0, atol=1e-9)
+            assert np.array_equal(one.code.values, other.code.values) and np.array_equal(one.back.values, other.back.values)
+            assert np.allclose(one.share.values, other.share.values, rtol=0, atol=1e-9)
     lat = pieces.Lattice(pieces.vocabulary_path(), 0.5)
     lat.add_long("漢" + "there" * 2000)  # far beyond the range of plain floats
-    assert np.isfinite(lat.share).all()
+    assert np.isfinite(lat.share.values).all()
+
+
+def test_pieces_of_long_units_are_drawn_by_their_share():
+    """A unit beyond the limit: how often each arc is taken against its probability from a plain forward sum."""
+    unit = "▁" + "therein" * 9
+    assert len(unit) > pieces.LONG
+    lat, n = pieces.Lattice(pieces.vocabulary_path(), 0.5), 6_000
+    ids = lat.encode([unit[1:]] * n, np.array([pieces.row_key(i, 5) for i in range(n)], np.uint64))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.vocabulary_path())
+    weight = {sp.id_to_piece(i): (-sp.get_score(i) + 10) ** -0.5 for i in range(259, sp.get_piece_size())}
+    m = len(unit)
+    arcs = [(i, j) for i in range(m) for j in range(i + 1, min(m, i + lat.deepest) + 1) if unit[i:j] in weight]
+    ahead, behind = [1.0] + [0.0] * m, [0.0] * m + [1.0]
+    for i, j in sorted(arcs, key=lambda x: x[1]):
+        ahead[j] += ahead[i] * weight[unit[i:j]]
+    for i, j in sorted(arcs, key=lambda x: -x[0]):
+        behind[i] += behind[j] * weight[unit[i:j]]
+    taken = Counter()
+    for x in ids:
+        at = 0
+        for p in map(sp.id_to_piece, x.tolist()):
+            taken[at, at + len(p)] += 1
+            at += len(p)
+    want = {(i, j): ahead[i] * weight[unit[i:j]] * behind[j] / ahead[m] for i, j in arcs}
+    assert max(abs(taken[k] / n - w) for k, w in want.items()) < 0.03 and set(taken) <= set(want)
+
+
+def test_pieces_decoded(spark, docs):
+    cut = pieces.segmented(docs, keep=["doc_id", "text", "id"]).withColumnRenamed("text", "was")
+    back = pieces.decoded(cut).collect()
+    assert len(back) == docs.count() and all(r.text == (r.was or "") for r in back)
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id long, pieces array<int>")
+    assert {r.doc_id: r.text for r in pieces.decoded(odd).collect()} == {1: None, 2: ""}
 
 
 # ---------------------------------------------------------------- language model
@@ -597,6 +653,58 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_on_texts_not_fitted():
+    """Held-out accuracy on the documents of the small test table."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang IS NOT NULL AND length(text) > 40").fetchall()
+    counts = {}
+    for i, t, l in rows:
+        if i % 3:
+            code, _ = langid._buckets([t.encode()])
+            counts[l] = counts.get(l, 0.5) + np.bincount(code, minlength=langid.BUCKETS)
+    langs = sorted(counts)
+    table = np.log(np.array([counts[l] / counts[l].sum() for l in langs]))
+    told = [(langs[int(table[:, langid._buckets([t.encode()])[0]].sum(1).argmax())], l) for i, t, l in rows if i % 3 == 0]
+    assert sum(a == b for a, b in told) / len(told) >= 0.97
+
+
+def test_language_host_prior_leaves_the_row_out(spark):
+    """Priors against a plain loop, with hosts broadcast and with only hot ones broadcast."""
+    rng = np.random.default_rng(1)
+    hosts = ["a.b.org"] * 40 + ["c.b.org"] * 6 + ["d.de", "e.f.de", None, None]
+    post = rng.dirichlet([1, 1, 1], len(hosts))
+    df = spark.createDataFrame([(i, h, p.tolist()) for i, (h, p) in enumerate(zip(hosts, post))], "i int, _host string, _post array<double>")
+    counts, total = langid.host_counts(df, 3, "_host", "_post", common.Scratch(spark, "hosts"))
+
+    def level(h, k):
+        if h is None:
+            return None
+        parts = h.split(".")
+        return [parts[-1], h.split(".", 1)[1] if len(parts) > 2 else h, h][k]
+
+    kept = langid.BROADCAST_HOSTS
+    for most in (kept, 0):
+        langid.BROADCAST_HOSTS = most
+        try:
+            got = {r.i: r.p for r in langid._with_counts(df, counts).select("i", langid.host_prior(total, F.col("_post")).alias("p")).collect()}
+        finally:
+            langid.BROADCAST_HOSTS = kept
+        assert len(got) == len(hosts)
+        for i, h in enumerate(hosts):
+            p = (post.sum(0) - post[i] + langid.KAPPA / 3) / (len(hosts) - 1 + langid.KAPPA)
+            for k in range(3) if h else ():
+                n = sum((post[j] for j in range(len(hosts)) if j != i and level(hosts[j], k) == level(h, k)), np.zeros(3))
+                p = (n + langid.KAPPA * p) / (n.sum() + langid.KAPPA)
+            assert np.allclose(got[i], np.log(p))
+
+
+def test_language_addresses(spark):
+    rows = [("https://www.Example.de/x",), ("http://a.b.co.uk:80/",), ("https://x.org/fr/page",), ("https://u@h.es",), ("not an address",), (None,), ("https://x.org/",)]
+    df = spark.createDataFrame(rows, "u string")
+    assert [tuple(r) for r in df.select(langid.host_of("u"), langid.suffix_language("u")).collect()] == [("www.example.de", "de"), ("a.b.co.uk", "en"), ("x.org", "fr"), ("h.es", "es"), (None, None), (None, None), ("x.org", None)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
