@@ -9,7 +9,11 @@ log P(l | row) = log P(text | l) + log P(declared | l) + log P(address suffix |
   each names a language with a stated reliability; absent or unknown names are neutral;
 * host: priors smoothed down a hierarchy, everything -> suffix -> parent domain -> host, each level
   shrunk to the one above with ``KAPPA`` pseudo-rows.  The counts are sums of text posteriors, by
-  grouped aggregation with map-side partial sums, so a host with a third of the rows costs no more.
+  grouped aggregation with map-side partial sums, so a host with a third of the rows costs no more.  A row's own
+  posterior is taken out of all four levels before they judge it, so its text counts once.
+
+Text evidence is worked out once and written; hosts with many rows meet their counts by a broadcast, so that what is
+shuffled where there are many hosts has no hot key.
 
 A fifth hypothesis, ``und``, spreads its trigrams evenly over the buckets: a row is rejected where
 that explains it best, where no language reaches ``FLOOR``, or where the text has no letter.
@@ -157,54 +161,83 @@ def suffix_language(address: str) -> Column:
     return F.coalesce(F.when(segment != "", segment), by_suffix)
 
 
-def host_priors(rows: DataFrame, langs: list[str], host_col: str, post_col: str, scratch: Scratch) -> DataFrame:
-    """(host, prior array<double>): log priors of each host, smoothed down the hierarchy."""
-    sums = [F.sum(F.col(post_col)[i]).alias(f"n{i}") for i in range(len(langs))]
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
-    h = scratch.save(rows.groupBy(F.col(host_col).alias("host")).agg(*sums), "hosts")
+def host_counts(rows: DataFrame, k: int, host_col: str, post_col: str, scratch: Scratch) -> tuple[DataFrame, list[float]]:
+    """((host, rows, own, parent, suffix), total): sums of posteriors for each host and the levels above it, and over all."""
+    sums = [F.sum(F.col(post_col)[i]).alias(f"n{i}") for i in range(k)]
+    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
+    as_array = F.array(*[F.coalesce(f"n{i}", F.lit(0.0)) for i in range(k)])
+    h = scratch.save(rows.groupBy(F.col(host_col).alias("host")).agg(*sums, F.count(F.lit(1)).alias("rows")), "hosts")
     h = h.withColumn("parent", F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
+    total = h.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)) for i in range(k)]).first()
+    by_suffix = h.groupBy("suffix").agg(*again).select("suffix", as_array.alias("of_suffix"))
+    by_parent = h.groupBy("parent").agg(*again).select("parent", as_array.alias("of_parent"))
+    out = h.select("host", "rows", "parent", "suffix", as_array.alias("own")).join(by_suffix, "suffix", "left").join(by_parent, "parent", "left")
+    return scratch.save(out.select("host", "rows", "own", "of_parent", "of_suffix"), "counts"), list(total)
+
+
+def host_prior(total: list[float], post: Column) -> Column:
+    """array of log P(l | host) of a row with counts ``own``, ``of_parent``, ``of_suffix``, its own posterior left out."""
+    k = len(total)
+
+    def shrunk(counts: Column, above: Column) -> Column:
+        left = F.zip_with(counts, post, lambda n, p: F.greatest(n - p, F.lit(0.0)))
+        return F.transform(F.array(left), lambda n: F.zip_with(n, above, lambda x, a: (x + KAPPA * a) / (F.aggregate(n, F.lit(0.0), lambda s, y: s + y) + KAPPA)))[0]
+
+    p = shrunk(F.array(*[F.lit(float(x)) for x in total]), F.array(*[F.lit(1 / k)] * k))
+    for level in ("of_suffix", "of_parent", "own"):  # a null host has no levels: the overall prior
+        p = F.when(F.col(level).isNull(), p).otherwise(shrunk(F.col(level), p))
+    return F.transform(p, lambda x: F.log(x))
+
+
+#: Hosts with at least this share of the rows (so at most as many hosts) are broadcast; and all of them up to so many.
+HOT_SHARE, BROADCAST_HOSTS = 1e-4, 200_000
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with the counts of their _host; null hosts get those of no host."""
+    told = counts.where("host IS NOT NULL").withColumnRenamed("host", "_h")
+    n, hosts = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("host")).first()
+    levels = ["own", "of_parent", "of_suffix"]
+    on = F.col("_host") == F.col("_h")
+    if hosts <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(told), on, "left").drop("_h", "rows")
+    hot = told.where(F.col("rows") >= max(1, n * HOT_SHARE))
+    first = rows.join(F.broadcast(hot), on, "left")
+    done = first.where(F.col("_h").isNotNull() | F.col("_host").isNull()).drop("_h", "rows")
+    rest = first.where(F.col("_h").isNull() & F.col("_host").isNotNull()).drop("_h", "rows", *levels)
+    return done.unionByName(rest.join(told, on, "left").drop("_h", "rows"))
+
+
+def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, address_col: str | None = None, host_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` (all by default) with _lang string, _lang_score double and _lang_ok boolean.
 
-    def shrink(counts: DataFrame, prior: Column) -> Column:
-        total = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0.0))
-        return F.array(*[(F.col(f"n{i}") + KAPPA * prior[i]) / (total + KAPPA) for i in range(len(langs))])
-
-    even = F.array(*[F.lit(1 / len(langs))] * len(langs))
-    every = h.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(len(langs))])
-    top = [float(x) for x in every.select(shrink(every, even).alias("p")).first()[0]]
-    overall = F.array(*[F.lit(x) for x in top])
-    by_suffix = h.groupBy("suffix").agg(*again)
-    by_suffix = by_suffix.select("suffix", shrink(by_suffix, overall).alias("ps"))
-    by_parent = h.groupBy("parent", "suffix").agg(*again).join(by_suffix, "suffix", "left")
-    by_parent = by_parent.select("parent", shrink(by_parent, F.coalesce("ps", overall)).alias("pp"))
-    out = h.join(by_parent, "parent", "left")
-    out = out.select("host", F.transform(shrink(out, F.coalesce("pp", overall)), lambda x: F.log(x)).alias("prior"))
-    return scratch.save(out, "priors")
-
-
-def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, address_col: str | None = None, host_col: str | None = None) -> DataFrame:
-    """``df`` with _lang string, _lang_score double and _lang_ok boolean; all its columns pass through."""
+    The rows are written once with their text evidence, so a caller that needs few columns should carry few.
+    """
+    carry = df.columns if carry is None else carry
+    kept = [F.col(f"`{c}`") for c in carry]
     if not model.langs:
-        return df.select("*", F.lit("und").alias("_lang"), F.lit(0.0).alias("_lang_score"), F.lit(False).alias("_lang_ok"))
-    scratch, langs = Scratch(df.sparkSession, "langid"), model.langs
-    evidence = text_evidence(model)
+        return df.select(*kept, F.lit("und").alias("_lang"), F.lit(0.0).alias("_lang_score"), F.lit(False).alias("_lang_ok"))
+    scratch, langs, k = Scratch(df.sparkSession, "langid"), model.langs, len(model.langs)
+    text = F.col(text_col).cast("string")
     host = F.col(host_col) if host_col else host_of(address_col) if address_col else F.lit(None).cast("string")
-    marked = df.withColumn("_text", evidence(F.col(text_col).cast("string"))).withColumn("_host", host)
-    k = len(langs)
-    soft = marked.select("_host", _posterior(F.slice("_text", 1, k).cast("array<double>")).alias("_post"))
-    priors = host_priors(soft, langs, "_host", "_post", scratch)
-    joined = marked.join(priors.withColumnRenamed("host", "_h"), F.col("_host").eqNullSafe(F.col("_h")), "left")
-    parts = [F.slice("_text", 1, k).cast("array<double>"), F.coalesce("prior", F.array(*[F.lit(0.0)] * k))]
+    parts = []
     if declared_col:
         parts.append(_evidence(langs, F.lower(F.col(declared_col)), RELIABLE["declared"]))
     if address_col:
         parts.append(_evidence(langs, suffix_language(address_col), RELIABLE["suffix"]))
-    logs = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(k)], F.col("_text")[k].cast("double") + F.lit(NOISE))
-    out = joined.withColumn("_logs", logs).withColumn("_all", _posterior(F.col("_logs")))
+    other = F.array(*[sum((p[i] for p in parts), F.lit(0.0)) for i in range(k)])
+    names = [f"_c{i}" for i in range(len(carry))]  # whatever the columns are called
+    marked = df.select(*[c.alias(n) for c, n in zip(kept, names)], text_evidence(model)(text).alias("_text"), host.alias("_host"), other.alias("_other"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    marked = scratch.save(marked, "marked").withColumn("_own", F.slice("_text", 1, k).cast("array<double>"))
+    marked = marked.withColumn("_post", _posterior(F.col("_own")))
+    counts, total = host_counts(marked.select("_host", "_post"), k, "_host", "_post", scratch)
+    joined = _with_counts(marked, counts).withColumn("_prior", host_prior(total, F.col("_post")))
+    logs = F.array(*[F.col("_own")[i] + F.col("_other")[i] + F.col("_prior")[i] for i in range(k)], F.col("_text")[k].cast("double") + F.lit(NOISE))
+    out = joined.withColumn("_all", _posterior(logs))
     best = F.array_max(F.slice("_all", 1, k))
-    letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    ok = letters & (best >= FLOOR) & (best >= F.col("_all")[k])
+    ok = F.col("_letters") & (best >= FLOOR) & (best >= F.col("_all")[k])
     name = F.array(*[F.lit(x) for x in langs])[F.array_position(F.slice("_all", 1, k), best).cast("int") - 1]
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(ok, name).otherwise("und").alias("_lang"), best.alias("_lang_score"), ok.alias("_lang_ok"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], F.when(ok, name).otherwise("und").alias("_lang"), best.alias("_lang_score"), ok.alias("_lang_ok"))
 
 
 def visible_text(html: str) -> Column:
@@ -221,5 +254,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     a = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("declared"), none.cast("string").alias("url"), F.col("source").alias("host"))
     declared = F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     b = pages.select(none.cast("long").alias("doc_id"), "page_id", visible_text("html").alias("text"), declared.alias("declared"), "url", host_of("url").alias("host"))
-    out = identify(a.union(b), model, declared_col="declared", address_col="url", host_col="host")
+    out = identify(a.union(b), model, declared_col="declared", address_col="url", host_col="host", carry=["doc_id", "page_id"])
     return out.select("doc_id", "page_id", F.col("_lang").alias("lang"), F.col("_lang_score").alias("score"), F.col("_lang_ok").alias("kept"))
