@@ -8,15 +8,15 @@ every suffix of a corpus costs several times the corpus; the order is built only
    windows have equal anchors at equal places.  About one position in 170 is an anchor, with the
    *context* that all windows around it can reach, at most 336 bytes before and 400 from its start.
 2. *Buckets.*  Suffixes that start with the same gram are one bucket of the suffix order.  A bucket
-   of one suffix has no repeat.  Suffixes whose whole contexts are equal are repeats of each other
-   throughout and are settled by counting (copies cost one representative).
+   of one suffix has no repeat.  Suffixes whose whole contexts are equal (by 128-bit hashes) are repeats of
+   each other throughout and are settled by counting (copies cost one representative).
 3. *Suffix order.*  In the buckets that are left, contexts are sorted by what follows the gram's start,
    with LCPs, and by what precedes it.  Suffixes that start o bytes before the gram agree on those
    bytes if they are in one run of the second order; within a run their suffix order is the first
    order.  So for each o the previous and next smaller positions in suffix order give the
    longest earlier factor (LPF) of each suffix, and by exchange of the order the longest later one.
 4. A bucket of more than ``BUCKET`` distinct contexts is not gathered: its windows are dealt out one
-   by one under their hashes and settled by counting, so no task holds an unbounded bucket.
+   by one under their 128-bit hashes and settled by counting, so no task holds an unbounded bucket.
 
 ``keep="first"`` removes later copies and keeps the first in order of (id, hash of text, position);
 ``keep="none"`` removes every copy.  Matches never cross documents.
@@ -47,7 +47,7 @@ BROADCAST_ROWS = 1_000_000
 BATCH_BYTES = 1 << 22
 NULL_ID = np.iinfo(np.int64).min
 AT = np.uint64((1 << 30) - 1)
-ANCHOR = "id long, h long, pos long, right int, gram long, ctx long"
+ANCHOR = "id long, h long, pos long, right int, gram long, ctx long, ctx2 long"
 
 
 # ---------------------------------------------------------------- anchors
@@ -94,25 +94,26 @@ def anchors_of(texts: list[bytes], least: int, gram: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] if x else np.empty(0, np.int64) for x in found]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _wide(parts: list[bytes]) -> np.ndarray:
+    """(n x 2) 128-bit hashes: what is told equal by them is equal, at any size of the corpus."""
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
 
 
 def _anchors(least: int, gram: int):
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest, wide = xxhash.xxh3_64_digest, xxhash.xxh3_128_digest
         for b in batches:
             ids, hs, texts = b.column(0), b.column(1).to_numpy(), texts_of(b.column(2))
             who, pos, right, grams, ctx = [], [], [], [], []
-            for i, (t, at) in enumerate(zip(texts, anchors_of(texts, least, gram))):
+            for t, at in zip(texts, anchors_of(texts, least, gram)):
                 for p in at.tolist():
                     pos.append(p)
                     right.append(min(least, len(t) - p))
-                    grams.append(_signed(digest(t[p : p + gram])))
-                    ctx.append(_signed(digest(t[max(0, p - least + gram) : p + least], min(p, least - gram))))
+                    grams.append(digest(t[p : p + gram]))
+                    ctx.append(wide(t[max(0, p - least + gram) : p + least], min(p, least - gram)))
                 who.append(len(at))
-            at = pa.array(np.repeat(np.arange(b.num_rows), who), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.repeat(hs, who)), pa.array(pos, pa.int64()), pa.array(right, pa.int32()), pa.array(grams, pa.int64()), pa.array(ctx, pa.int64())], ["id", "h", "pos", "right", "gram", "ctx"])
+            at, both = pa.array(np.repeat(np.arange(b.num_rows), who), pa.int64()), _wide(ctx)
+            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.repeat(hs, who)), pa.array(pos, pa.int64()), pa.array(right, pa.int32()), pa.array(np.frombuffer(b"".join(grams), np.int64)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["id", "h", "pos", "right", "gram", "ctx", "ctx2"])
 
     return run
 
@@ -280,8 +281,8 @@ def _windows(least: int):
         for b in batches:
             for i, h, first, body in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
                 n = len(body) - least + 1
-                key = [_signed(xxhash.xxh3_64_intdigest(body[w : w + least])) for w in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([i] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())], ["key", "id", "h", "start"])
+                key = _wide([xxhash.xxh3_128_digest(body[w : w + least]) for w in range(n)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array([i] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())], ["key", "key2", "id", "h", "start"])
 
     return run
 
@@ -318,19 +319,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.save(found.distinct() if first else found, "anchors")
 
     # buckets: which grams occur again, and whether in more than one context
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1")
+    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ctx", "ctx2")).alias("a"), F.max(F.struct("ctx", "ctx2")).alias("b")).where("n > 1")
     again = scratch.save(again.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "grams")
     kept = again.count()
     met = scratch.save(found.join(F.broadcast(again) if kept <= BROADCAST_ROWS else again, "gram"), "met")
     me = F.struct("id", "h", "pos")
-    contexts = met.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("least"), F.first("mixed").alias("mixed"))
+    contexts = met.groupBy("gram", "ctx", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("least"), F.first("mixed").alias("mixed"))
     contexts = scratch.save(contexts, "contexts")
     span = (F.greatest(F.col("pos") - (least - gram), F.lit(0)).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
 
     # whole contexts that occur again
-    copies = contexts.where("n > 1").select("gram", "ctx", "least")
+    copies = contexts.where("n > 1").select("gram", "ctx", "ctx2", "least")
     n_copies = copies.count()
-    settled = met.join(F.broadcast(copies) if n_copies <= BROADCAST_ROWS // 4 else copies, ["gram", "ctx"])
+    settled = met.join(F.broadcast(copies) if n_copies <= BROADCAST_ROWS // 4 else copies, ["gram", "ctx", "ctx2"])
     settled = (settled.where(~me.eqNullSafe(F.col("least"))) if first else settled).select("id", "h", *span)
 
     # distinct contexts of one bucket, by suffix order
@@ -348,10 +349,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matched = calm.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(tidy(_matches(least, keep)), "id long, h long, start long, end long")
     spans = settled.union(matched)
     if crowded:
-        windows = scratch.save(bodies.join(crowd, "gram", "left_semi").mapInArrow(tidy(_windows(least)), "key long, id long, h long, start long").distinct(), "windows")
+        windows = scratch.save(bodies.join(crowd, "gram", "left_semi").mapInArrow(tidy(_windows(least)), "key long, key2 long, id long, h long, start long").distinct(), "windows")
         own = F.struct("id", "h", "start")
-        repeated = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1").select("key", "least")
-        again_there = windows.join(scratch.save(repeated, "repeated"), "key")
+        repeated = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1").select("key", "key2", "least")
+        again_there = windows.join(scratch.save(repeated, "repeated"), ["key", "key2"])
         again_there = again_there.where(~own.eqNullSafe(F.col("least"))) if first else again_there
         spans = spans.union(again_there.select("id", "h", "start", (F.col("start") + least).alias("end")))
     gathered = spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

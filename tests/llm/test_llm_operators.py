@@ -192,6 +192,31 @@ def test_containment(spark, docs, empty):
     assert decontaminate.contained_items(d, b.limit(0)).count() == 0
 
 
+def test_repeats_at_contract_size(spark, tmp_path):
+    """The query itself, 400 bytes and all, against every window of a real table and of very long texts with odd repeats."""
+    import duckdb
+
+    rng = random.Random(21)
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    long = " ".join(words(rng, 30_000))
+    rows += [(10_000, long), (10_001, f"{long[5_000:5_399]} x {long[9_000:9_401]}é" + "ü" * 300), (10_002, "ab" * 500), (10_003, long[-650:] + long[:450]), (10_004, None), (10_004, ""), (None, long[100_000:100_500])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(hashlib.blake2b(t[i : i + 400], digest_size=12).digest() for t in texts for i in range(len(t) - 399))
+    want = []
+    for (d, _), t in zip(rows, texts):
+        gone = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 399):
+            if seen[hashlib.blake2b(t[i : i + 400], digest_size=12).digest()] > 1:
+                gone[i] += 1
+                gone[min(i + 400, len(t))] -= 1
+        out = np.cumsum(gone)[:-1] > 0
+        left = bytes(c for c, o in zip(t, out.tolist()) if not o)
+        want.append((-1 if d is None else d, len(t), int(out.sum()), int((np.diff(np.r_[False, out].astype(int)) > 0).sum()), hashlib.sha256(left).hexdigest()))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.query(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] > 0 for r in want) > 10
+
+
 # ---------------------------------------------------------------- token files
 
 
