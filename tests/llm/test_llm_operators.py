@@ -460,7 +460,7 @@ def test_mixing_probabilities_sum_to_one():
         word = b"ab" + bytes([c])
         per_word, bits, node, slots = mixing.letter_bits(model.letters, [word])
         x, gate = model.letter_inputs(node, slots)
-        p = 1 / (1 + np.exp(-(x * model.sets[2][gate]).sum(1)))
+        p = 1 / (1 + np.exp(-(x * model.sets[1][gate]).sum(1)))
         last = len(bits) - int(model.letters.lengths[c << 8 | mixing.BLANK])
         first = last - int(model.letters.lengths[ord("b") << 8 | c])
         total += np.prod(np.where(bits == 1, p, 1 - p)[first:last])
@@ -751,3 +751,26 @@ def test_pipeline(spark, tmp_path):
     assert passage in lat.decode(np.array(out[102].pieces)) and passage not in lat.decode(np.array(out[103].pieces))
     assert all(r.lossless and r.n_chars == len(lat.decode(np.array(r.pieces))) for r in out.values())
     assert hashlib.sha256(lat.decode(np.array(out[9].pieces)).encode()).digest() == hashlib.sha256(base[9].encode()).digest()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows; null ids, repeated rows, empty and long texts, and extra columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, t string, _lang string, spans int, _key int"
+    item = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    rng = random.Random(4)
+    base = [" ".join(words(rng, 40, "aeionrstl")) for _ in range(12)] + [" ".join(words(rng, 20_000, "aeionrstl"))]
+    rows = [(i, t, "en", "s" if i % 2 else None, len(t), "x", "y", None, "z", 1, 2) for i, t in enumerate(base)]
+    rows += [rows[0], rows[0], (None, base[1] + " more of it", "en", "s", 5, None, None, None, None, None, None), (70, None, None, None, None, None, None, None, None, None, None), (71, "", "en", "s", 0, "", "", "", "", 0, 0)]
+    for name, part in (("none", []), ("odd", rows)):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(part, kind).write.parquet(f"{d}/documents.parquet")
+        item.write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d).collect()
+        if not part:
+            assert out == []
+            continue
+        ids = [r.doc_id for r in out]
+        assert ids.count(0) == 1 and set(range(13)) - {1} <= set(ids) and not {70, 71} & set(ids)
+        assert len({1, None} & set(ids)) >= 1 and all(r.lossless and r.n_pieces == len(r.pieces) for r in out)
