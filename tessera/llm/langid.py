@@ -208,15 +208,15 @@ def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return done.unionByName(rest.join(told, on, "left").drop("_h", "rows"))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, address_col: str | None = None, host_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` (all by default) with _lang string, _lang_score double and _lang_ok boolean.
+def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, address_col: str | None = None, host_col: str | None = None, carry: list[str] | None = None, names: tuple[str, str, str] = ("_lang", "_lang_score", "_lang_ok")) -> DataFrame:
+    """Columns ``carry`` (all by default), then the language string, its score double and whether the row is accepted boolean, called ``names``.
 
     The rows are written once with their text evidence, so a caller that needs few columns should carry few.
     """
     carry = df.columns if carry is None else carry
     kept = [F.col(f"`{c}`") for c in carry]
     if not model.langs:
-        return df.select(*kept, F.lit("und").alias("_lang"), F.lit(0.0).alias("_lang_score"), F.lit(False).alias("_lang_ok"))
+        return df.select(*kept, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2]))
     scratch, langs, k = Scratch(df.sparkSession, "langid"), model.langs, len(model.langs)
     text = F.col(text_col).cast("string")
     host = F.col(host_col) if host_col else host_of(address_col) if address_col else F.lit(None).cast("string")
@@ -226,8 +226,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col:
     if address_col:
         parts.append(_evidence(langs, suffix_language(address_col), RELIABLE["suffix"]))
     other = F.array(*[sum((p[i] for p in parts), F.lit(0.0)) for i in range(k)])
-    names = [f"_c{i}" for i in range(len(carry))]  # whatever the columns are called
-    marked = df.select(*[c.alias(n) for c, n in zip(kept, names)], text_evidence(model)(text).alias("_text"), host.alias("_host"), other.alias("_other"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    inner = [f"_c{i}" for i in range(len(carry))]  # whatever the columns are called
+    marked = df.select(*[c.alias(n) for c, n in zip(kept, inner)], text_evidence(model)(text).alias("_text"), host.alias("_host"), other.alias("_other"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     marked = scratch.save(marked, "marked").withColumn("_own", F.slice("_text", 1, k).cast("array<double>"))
     marked = marked.withColumn("_post", _posterior(F.col("_own")))
     counts, total = host_counts(marked.select("_host", "_post"), k, "_host", "_post", scratch)
@@ -237,7 +237,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col:
     best = F.array_max(F.slice("_all", 1, k))
     ok = F.col("_letters") & (best >= FLOOR) & (best >= F.col("_all")[k])
     name = F.array(*[F.lit(x) for x in langs])[F.array_position(F.slice("_all", 1, k), best).cast("int") - 1]
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], F.when(ok, name).otherwise("und").alias("_lang"), best.alias("_lang_score"), ok.alias("_lang_ok"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.when(ok, name).otherwise("und").alias(names[0]), best.alias(names[1]), ok.alias(names[2]))
 
 
 def visible_text(html: str) -> Column:

@@ -365,9 +365,10 @@ def _with_spans(df: DataFrame, id_col: str, text_col: str, spans: DataFrame, col
     n = spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
     side = spans.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), *[F.col(f"`{c}`") for c in columns]).withColumn("_key", F.xxhash64("_t"))
+    carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)]  # whatever they are called
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), *carried).withColumn("_key", F.xxhash64("_t"))
     on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_h"))
-    return rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, on, "left").select("_id", "_t", "spans", *[F.col(f"`{c}`") for c in columns])
+    return rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, on, "left").select("_id", "_t", "spans", *[f"_c{i}" for i in range(len(columns))])
 
 
 def cut(text: bytes, spans: list[dict] | None) -> bytes:
@@ -403,9 +404,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``df`` with the repeated passages cut out of ``text_col``; only whole characters are cut."""
     spans = repeated_spans(df, id_col, text_col, **options)
     rest = [c for c in df.columns if c != text_col]
-    fields = ", ".join(["_text string", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)])
+    fields = ", ".join(["_text string", *(f"_c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))])
     out = _with_spans(df, id_col, text_col, spans, rest).mapInArrow(tidy(_cut_rows), fields)
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    return out.select(*[F.col("_text" if c == text_col else f"_c{rest.index(c)}").alias(c) for c in df.columns])
 
 
 def _digests(batches):

@@ -185,14 +185,15 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     told = rooted.join(first, "root").select("id", "h", "n", F.struct("id", "h").eqNullSafe(F.col("first")).alias("stays"))
     odd = scratch.save(told.where("NOT stays OR n > 1").select(F.col("id").alias("_i"), F.col("h").alias("_h"), "stays"), "odd")
     n_odd, repeated = odd.count(), odd.where("stays").limit(1).count()
-    keyed = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(text))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])  # whatever the columns are called
+    keyed = df.select(row.alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
     on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_h"))
     side = F.broadcast(odd) if n_odd <= BROADCAST_ROWS else odd
     out = keyed.join(side, on, "left_anti")
     if repeated:  # rows equal in id and text, of which one stays
         stays = odd.where("stays")
         out = out.unionByName(keyed.join(F.broadcast(stays) if n_odd <= BROADCAST_ROWS else stays, on, "left_semi").dropDuplicates(["_id", "_key"]))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
