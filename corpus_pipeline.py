@@ -13,10 +13,18 @@ from tessera.llm import decontaminate, langid, pieces, repeats, simhash
 from tessera.llm.common import Scratch
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is some known language; ``lang`` is the one found."""
-    told = langid.identify(docs, langid.fit(docs), host_col="source").where("_lang_ok")
-    return told.select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found, score, ok = names = tuple(free(docs.columns, x) for x in ("found", "score", "ok"))
+    told = langid.identify(docs, langid.fit(docs), host_col="source", names=names).where(F.col(f"`{ok}`"))
+    return told.select(*[F.col(f"`{found}`").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
