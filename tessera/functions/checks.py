@@ -92,3 +92,11 @@ def guard(mae: Column, limit: float, trust: float, charged: Column) -> Column:
 def guard_reason(bucket: Column, status: Column, absent: Column, cover: Column, least: float) -> Column:
     """Why a row's spectrum is not used, null if it is."""
     return F.when(bucket == "fell_back", "mae").when(status != "ok", F.concat(F.lit("hsqc_"), status)).when(absent, "absent").when(cover < least, "low_c_coverage")
+
+
+def card(html: str) -> Column:
+    """struct<name, smiles, dois, spectra> of a compound's HTML card: heading, structure, sorted references, kinds of spectra listed."""
+    one = lambda pattern: F.nullif(F.trim(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    dois = F.transform(F.regexp_extract_all(html, F.lit(r"doi\.org/(10\.\d{4,9}/[^\s\"'<>]+)"), F.lit(1)), lambda d: F.regexp_replace(d, r"[.,;]+$", ""))
+    kinds = F.regexp_extract_all(html, F.lit(r"(?i)<li[^>]*>\s*(1H|13C|HSQC|MS)\b"), F.lit(1))
+    return F.struct(one(r"(?is)<h[12][^>]*>(.*?)</h[12]>").alias("name"), one(r"(?is)class=.smiles.[^>]*>(.*?)<").alias("smiles"), F.array_sort(F.array_distinct(dois)).alias("dois"), F.array_sort(F.array_distinct(F.transform(kinds, lambda k: F.upper(k)))).alias("spectra"))

@@ -126,7 +126,7 @@ def union_of_keys(spark, sf):
 
 @query("SELECT array_to_string(list_filter(['hsqc','c_nmr','h_nmr','mass_spec','mw','formula'], lambda x, i: (m >> (i - 1)) & 1 = 1), '+') AS combo, CAST(bit_count(m) AS INTEGER) AS n FROM (SELECT CAST(unnest(range(1, 64)) AS INTEGER) AS m) WHERE (m & 15) <> 0")
 def modality_power_set(spark, sf):
-    """Every set of inputs with at least one spectral member, as a key in canonical order."""
+    """Every set of inputs with at least one spectral member, as a key in canonical order; reads no table."""
     m = spark.range(1, 64).select(F.col("id").cast("int").alias("m")).where("(m & 15) <> 0")
     return m.selectExpr("array_join(filter(array('hsqc','c_nmr','h_nmr','mass_spec','mw','formula'), (x, i) -> (shiftright(m, i) & 1) = 1), '+') AS combo", "bit_count(m) AS n")
 
@@ -192,7 +192,7 @@ def band_join_controls(spark, sf):
     "SELECT array_to_string(req, '+') AS request, id AS model FROM (SELECT req, id, row_number() OVER (PARTITION BY req ORDER BY score DESC, id DESC) AS n FROM r JOIN m ON len(list_filter(req, lambda x: NOT list_contains(inputs, x))) = 0) WHERE n = 1"
 )
 def model_select_combo(spark, sf):
-    """Best model whose inputs hold the whole request; both sides are small fixed tables."""
+    """Best model whose inputs hold the whole request; both sides are small fixed tables (``best_model`` reads one)."""
     m = spark.createDataFrame([("full", ["hsqc", "c_nmr", "mw"], 0.9), ("nmr", ["hsqc", "c_nmr"], 0.8), ("c", ["c_nmr"], 0.5), ("ms", ["mass_spec"], 0.6)], "id string, inputs array<string>, score double")
     r = spark.createDataFrame([(["hsqc", "c_nmr"],), (["c_nmr"],), (["mass_spec"],), (["c_nmr", "mw"],)], "req array<string>")
     fit = r.crossJoin(F.broadcast(m)).where(F.size(F.array_except("req", "inputs")) == 0)

@@ -129,6 +129,7 @@ SEED = "m AS (SELECT vec_id % 5 AS metric, label AS seed, avg(embedding[1]) AS v
 
 
 def seed_values(spark, sf):
+    """(metric, seed, v): three labels stand for seeds, the first component for a measure; one value is missing."""
     e = table(spark, sf, "embeddings").where("label < 3 AND NOT (label = 1 AND vec_id % 5 = 4)")
     return e.groupBy((F.col("vec_id") % 5).alias("metric"), F.col("label").alias("seed")).agg(F.avg(F.col("embedding")[0].cast("double")).alias("v"))
 
@@ -168,6 +169,7 @@ SYSTEMS = "s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(e
 
 
 def systems(spark, sf):
+    """(vec_id, label, a, b): the first two components of each vector stand for the scores of two systems."""
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
 
 
@@ -221,6 +223,7 @@ def bootstrap_ci(spark, sf):
 
 @query("WITH h AS (SELECT label, CAST(least(floor((embedding[1] + 1) / 2 * 25), 24) AS INTEGER) AS bin FROM embeddings) SELECT bin, count(*) AS n, round(count(*) / (SELECT count(DISTINCT label) FROM embeddings), 6) AS mean_per_seed FROM h GROUP BY 1")
 def histogram_25(spark, sf):
+    """Bins of the first component (a score's stand-in) over [-1, 1] and their mean per label."""
     e = table(spark, sf, "embeddings")
     seeds = e.agg(F.countDistinct("label").alias("s"))
     h = e.groupBy(F.least(F.floor((F.col("embedding")[0] + F.lit(1).cast("float")) / 2 * 25), F.lit(24)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

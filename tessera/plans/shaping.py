@@ -217,3 +217,12 @@ def source_links(spark, sf):
 def paper_text_class(spark, sf):
     text = F.concat(F.lit("The 1H NMR and 13 C-NMR data: "), F.repeat(F.lit("7.26, 128.4, x "), F.col("p_size") * 2))
     return table(spark, sf, "part").select("p_partkey", text.alias("t")).select("p_partkey", ck.paper_kind("t").alias("kind"))
+
+
+@query("SELECT p_partkey, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'C' || p_size END AS smiles, '10.1000/' || p_partkey || '|10.1000/b' || p_size AS dois, CASE WHEN p_size % 3 = 0 THEN '13C|1H' ELSE '1H' END AS spectra FROM part")
+def html_cards(spark, sf):
+    """Compound cards read from HTML: name, structure, references, kinds of spectra."""
+    s = F.col("p_size")
+    h = F.concat(F.lit("<div><h2> "), F.col("p_name"), F.lit("</h2>"), F.when(s % 2 == 0, F.concat(F.lit("<span class='smiles'>C"), s, F.lit("</span>"))).otherwise(""), F.lit("<a href=\"https://doi.org/10.1000/b"), s, F.lit(".\">ref</a> https://doi.org/10.1000/"), F.col("p_partkey"), F.lit("<ul><li>1H NMR<li class=x> 1h again"), F.when(s % 3 == 0, "<li>13c data").otherwise(""), F.lit("</ul></div>"))
+    c = table(spark, sf, "part").select("p_partkey", h.alias("h")).select("p_partkey", ck.card("h").alias("c"))
+    return c.select("p_partkey", "c.name", "c.smiles", F.array_join("c.dois", "|").alias("dois"), F.array_join("c.spectra", "|").alias("spectra"))

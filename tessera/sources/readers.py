@@ -177,3 +177,14 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "labels array<string>, rows array<array<int>>").alias("a")).select("a.*")
     rows = text.select("labels", F.posexplode("rows").alias("id", "ids"))
     return rows.select(F.col("id").cast("long").alias("id"), labels_of(F.col("ids"), F.col("labels")).alias("labels"))
+
+
+#: Kind of source -> its reader; a kind that nobody reads is an error.
+LOADERS = {"csv": csv, "fields": fields, "jsonl": json_lines, "json": json_arrays, "tsv": structures, "key_map": key_map, "paste": pasted, "references": references, "manifest": manifest, "metrics": measurements, "annotations": annotations, "prefixes": prefixes, "synonyms": synonyms}
+
+
+def load(spark: SparkSession, kind: str, path: str, *args, **options) -> DataFrame:
+    """Read ``path`` with the reader of its kind."""
+    if kind not in LOADERS:
+        raise NotImplementedError(f"no reader for {kind!r}; there are {', '.join(sorted(LOADERS))}")
+    return LOADERS[kind](spark, path, *args, **options)
