@@ -50,8 +50,21 @@ def _starts(words: Column, width) -> Column:
     return F.slice(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(0)))
 
 
-def shingle_hashes(text: str, width: int) -> Column:
-    return bound(words_of(text), lambda w: F.transform(_starts(w, width), lambda i: F.xxhash64(F.slice(w, i, F.lit(width)))))
+def _hashes(words: Column, width: int) -> Column:
+    return F.transform(_starts(words, width), lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))
+
+
+def probes(docs: DataFrame, text: str, widths: list[int]) -> DataFrame:
+    """(doc_id, width, n, h): every shingle's hash for each width, with how many shingles of that width the text has; one reading of the corpus."""
+    if len(widths) == 1:
+        p = docs.select("doc_id", bound(words_of(text), lambda w: _hashes(w, widths[0])).alias("hs"))
+        return p.select("doc_id", F.lit(widths[0]).alias("width"), F.size("hs").alias("n"), F.explode("hs").alias("h"))
+
+    def of(words: Column, width: int) -> Column:
+        return bound(_hashes(words, width), lambda hs: F.transform(hs, lambda h: F.struct(F.lit(width).alias("width"), F.size(hs).alias("n"), h.alias("h"))))
+
+    every = bound(words_of(text), lambda w: F.concat(*[of(w, k) for k in widths]))
+    return docs.select("doc_id", F.explode(every).alias("p")).select("doc_id", "p.*")
 
 
 def shingles(text: str, width: Column) -> Column:
@@ -81,16 +94,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     n_sig, n_items = sig.count(), i.count()
     widths = [r[0] for r in sig.select("width").distinct().collect()]  # at most ``width`` values
 
-    found = None
-    for k in sorted(widths):
-        p = d.select("doc_id", shingle_hashes("t", k).alias("hs"))
-        p = p.select("doc_id", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))
-        own = sig.where(F.col("width") == k).select("item_id", "least", "h")
-        pairs = p.join(_maybe_broadcast(own, n_sig), "h").where("n >= least").select("doc_id", "item_id")
-        found = pairs if found is None else found.union(pairs)
-    schema = "doc_id long, item_id long, n_shingles int, n_common int, containment double"
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
+    if not widths:
+        kinds = [docs.schema[id_col].dataType, items.schema[item_col].dataType, "int", "int", "double"]
+        names = ["doc_id", "item_id", "n_shingles", "n_common", "containment"]
+        return d.select(*[F.lit(None).cast(k).alias(n) for k, n in zip(kinds, names)]).where(F.lit(False))
+    found = probes(d, "t", sorted(widths)).join(_maybe_broadcast(sig, n_sig), ["h", "width"]).where("n >= least").select("doc_id", "item_id")
     found = scratch.save(found.distinct(), "candidates")
     n_found = found.count()
 
