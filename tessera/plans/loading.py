@@ -70,7 +70,7 @@ def key_maps(spark, sf):
     return out
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey * 1.5 AS fresh, n_nationkey + 0.0 AS rebuilt, CAST(NULL AS DOUBLE) AS off FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey * 1.5 AS DOUBLE) AS fresh, CAST(n_nationkey AS DOUBLE) AS rebuilt, CAST(NULL AS DOUBLE) AS off FROM nation")
 def sidecar_lists(spark, sf):
     """A list aligned by position; a stale one is rebuilt or switched off."""
     ids = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
@@ -82,7 +82,7 @@ def sidecar_lists(spark, sf):
     return a.join(b, "id").join(readers.aligned(ids, spark, stale, "off"), "id")
 
 
-@query("SELECT * FROM (VALUES ('h_nmr', 0, 7.26, NULL, NULL), ('h_nmr', 0, 1.5, NULL, NULL), ('h_nmr', 1, 3.3, NULL, NULL), ('c_nmr', 0, 128.4, NULL, NULL), ('hsqc', 0, 7.1, 128.0, 1.0), ('hsqc', 1, 3.5, 55.0, -1.0), ('hsqc', 1, 2.5, 30.0, 2.0)) t(kind, block, f2, f1, intensity)")
+@query("SELECT kind, block, CAST(f2 AS DOUBLE) AS f2, CAST(f1 AS DOUBLE) AS f1, CAST(intensity AS DOUBLE) AS intensity FROM (VALUES ('h_nmr', 0, 7.26, NULL, NULL), ('h_nmr', 0, 1.5, NULL, NULL), ('h_nmr', 1, 3.3, NULL, NULL), ('c_nmr', 0, 128.4, NULL, NULL), ('hsqc', 0, 7.1, 128.0, 1.0), ('hsqc', 1, 3.5, 55.0, -1.0), ('hsqc', 1, 2.5, 30.0, 2.0)) t(kind, block, f2, f1, intensity)")
 def pasted_tables(spark, sf):
     """Peak tables from a clipboard: blocks side by side, kind told by header and range."""
     files = (["Report", "\tppm\tH\t\tppm\tH", "1\t7.26\t1\t\t3.3\t2", "2\t1.5\t3\t\t\t"], ["ppm", "128.4", "n/a"], ["f2 (ppm)\tf1 (ppm)\tIntensity\t\tf2 (ppm)\tf1 (ppm)\tIntensity", "7.1\t128.0\t1.0\t\t3.5\t55.0\t-1.0", "7.2\t\t1.0\t\t2.5\t30.0\t2.0"])

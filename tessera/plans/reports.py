@@ -118,7 +118,7 @@ def row_similarity_means(spark, sf):
     return r.agg(F.round(F.avg(F.col("tp") / F.sqrt(F.greatest(F.col("h") * F.col("y"), F.lit(1)))), 6).alias("mean_cos"), F.round(F.avg(F.col("tp") / F.greatest(F.col("h") + F.col("y") - F.col("tp"), F.lit(1))), 6).alias("mean_jaccard"), F.round(F.avg("h"), 6).alias("active"))
 
 
-@query("WITH g AS (SELECT c_mktsegment AS modality, n_regionkey AS source, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), k AS (SELECT DISTINCT c_mktsegment AS modality, r_regionkey AS source FROM customer, region) SELECT modality, to_json(map_from_entries(list((source, coalesce(n, 0)) ORDER BY source))) AS report FROM k LEFT JOIN g USING (modality, source) GROUP BY 1")
+@query("WITH g AS (SELECT c_mktsegment AS modality, n_regionkey AS source, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), k AS (SELECT DISTINCT c_mktsegment AS modality, r_regionkey AS source FROM customer, region) SELECT modality, CAST(to_json(map_from_entries(list((source, coalesce(n, 0)) ORDER BY source))) AS VARCHAR) AS report FROM k LEFT JOIN g USING (modality, source) GROUP BY 1")
 def nested_counters(spark, sf):
     """Counters by two keys as one nested report each, zero where nothing was counted."""
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))

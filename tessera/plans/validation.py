@@ -81,7 +81,7 @@ def filter_map_checked(spark, sf):
     return rel.count_filter(part_bank(spark, sf), "elems", {"C": (10, None), "H": (None, 60), "N": (0, 0)}).select("p_partkey")
 
 
-@query(f"WITH {BANK}, k AS (SELECT row_number() OVER () - 1 AS pos, doc_id FROM (SELECT unnest([7, 3, 7, 0, 199]) AS doc_id)) SELECT CAST(CASE pos WHEN 0 THEN 0 ELSE pos END AS INTEGER) AS pos, k.doc_id AS doc_id, nnz FROM k JOIN nnz ON nnz.doc_id = k.doc_id")
+@query(f"WITH {BANK}, k AS (SELECT row_number() OVER () - 1 AS pos, doc_id FROM (SELECT unnest([7, 3, 7, 0, 199]) AS doc_id)) SELECT CAST(CASE pos WHEN 0 THEN 0 ELSE pos END AS INTEGER) AS pos, CAST(k.doc_id AS BIGINT) AS doc_id, nnz FROM k JOIN nnz ON nnz.doc_id = k.doc_id")
 def bank_row_subset(spark, sf):
     """Rows of the bank in a given order, repeats kept."""
     kept = spark.createDataFrame(list(enumerate([7, 3, 7, 0, 199])), "pos int, doc_id long")
@@ -134,7 +134,7 @@ def request_errors(spark, sf):
     return p.select("p_partkey", ck.request_error(F.col("hsqc"), F.col("ms"), F.lit(100.0), F.col("hi")).alias("error"))
 
 
-@query("SELECT l_orderkey, l_linenumber, center, c2 FROM lineitem, (VALUES (10000.0, 10.0), (30000.0, 30.0), (50000.0, 45.0)) t(center, c2) WHERE abs(l_extendedprice - center) <= 500 AND abs(l_quantity - c2) <= 5")
+@query("SELECT l_orderkey, l_linenumber, CAST(center AS DOUBLE) AS center, CAST(c2 AS DOUBLE) AS c2 FROM lineitem, (VALUES (10000.0, 10.0), (30000.0, 30.0), (50000.0, 45.0)) t(center, c2) WHERE abs(l_extendedprice - center) <= 500 AND abs(l_quantity - c2) <= 5")
 def box_window(spark, sf):
     """Peaks within a two-dimensional box around a line."""
     lines = spark.createDataFrame([(10000.0, 10.0), (30000.0, 30.0), (50000.0, 45.0)], "center double, c2 double")
