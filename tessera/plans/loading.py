@@ -205,7 +205,7 @@ def jsonl_split_routing(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("SELECT doc_id AS idx, CASE WHEN quality IS NULL THEN 'absent' WHEN quality = 1 THEN 'chnmr' ELSE 'mnova' END AS hsqc, CASE WHEN quality = 1 THEN doc_id + 1000 END AS chnmr_id, CAST(NULL AS VARCHAR) AS chnmr_solvent, quality IS NULL AS is_new FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id AS idx, CASE WHEN quality IS NULL THEN 'absent' WHEN quality = 1 THEN 'chnmr' ELSE 'mnova' END AS hsqc, CASE WHEN quality = 1 THEN CAST(doc_id + 1000 AS VARCHAR) ELSE 'none' END AS chnmr_id, CAST(NULL AS VARCHAR) AS chnmr_solvent, quality IS NULL AS is_new FROM documents LEFT JOIN labels USING (doc_id)")
 def provenance_file(spark, sf):
     """Provenance with typed nulls, sorted by id, written and read back."""
     d = table(spark, sf, "documents", "doc_id").join(table(spark, sf, "labels", "doc_id", "quality"), "doc_id", "left")
@@ -213,7 +213,8 @@ def provenance_file(spark, sf):
     p = d.select(F.col("doc_id").alias("idx"), F.when(q.isNull(), "absent").when(q == 1, "chnmr").otherwise("mnova").alias("hsqc"), F.when(q == 1, F.col("doc_id") + 1000).alias("chnmr_id"), F.lit(None).cast("string").alias("chnmr_solvent"), q.isNull().alias("is_new"))
     path = new_folder(spark, "provenance")
     p.orderBy("idx").write.parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    return back.withColumn("chnmr_id", F.coalesce(F.col("chnmr_id").cast("string"), F.lit("none")))
 
 
 @query("SELECT count(*) AS rows_, round(avg(CAST(lang = 'en' AS INTEGER)), 6) AS english, round(quantile_cont(n_chars, 0.05), 4) AS p5, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.95), 4) AS p95 FROM documents")

@@ -35,14 +35,14 @@ def bank_left_join_sources(spark, sf):
 SPLITS = "CASE WHEN quality = 0 THEN 'val' WHEN quality = 1 THEN 'train' ELSE 'absent' END"
 
 
-@query(f"SELECT d.doc_id, {SPLITS} AS split, quality IS NOT NULL AND contains(d.text, ' the ') AS leaked, b.doc_id AS bank_id FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 500) b ON b.doc_id = d.doc_id")
+@query(f"SELECT d.doc_id, {SPLITS} AS split, quality IS NOT NULL AND contains(d.text, ' the ') AS leaked, coalesce(b.doc_id, -1) AS bank_id FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 500) b ON b.doc_id = d.doc_id")
 def split_lookup(spark, sf):
-    """The first split that holds a row ('absent' if none), whether it leaks, and its id in the bank, if any."""
+    """The first split that holds a row ('absent' if none), whether it leaks, and its id in the bank (-1 if none)."""
     d, l = table(spark, sf, "documents", "doc_id", "text", "n_chars"), table(spark, sf, "labels", "doc_id", "quality")
     b = d.where("n_chars > 500").select("doc_id", F.col("doc_id").alias("bank_id"))
     m = d.join(l, "doc_id", "left").join(b, "doc_id", "left")
     split = F.when(F.col("quality") == 0, "val").when(F.col("quality") == 1, "train").otherwise("absent")
-    return m.select("doc_id", split.alias("split"), (F.col("quality").isNotNull() & F.contains("text", F.lit(" the "))).alias("leaked"), "bank_id")
+    return m.select("doc_id", split.alias("split"), (F.col("quality").isNotNull() & F.contains("text", F.lit(" the "))).alias("leaked"), F.coalesce("bank_id", F.lit(-1)).alias("bank_id"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'O'")
@@ -412,8 +412,8 @@ def prediction_dump(spark, sf):
     return t.orderBy("vec_id").limit(20).select("vec_id", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("truth"))
 
 
-@query("SELECT doc_id, source, l.quality AS quality, coalesce(l.quality, -1) >= 0 AS enriched FROM documents LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, source, coalesce(l.quality, -1) AS quality, coalesce(l.quality, -1) >= 0 AS enriched FROM documents LEFT JOIN labels l USING (doc_id)")
 def record_enrichment(spark, sf):
     """Records with what a cache knows of their key."""
     l = table(spark, sf, "labels", "doc_id", "quality")
-    return table(spark, sf, "documents", "doc_id", "source").join(l, "doc_id", "left").withColumn("enriched", F.col("quality").isNotNull())
+    return table(spark, sf, "documents", "doc_id", "source").join(l, "doc_id", "left").select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("quality").isNotNull().alias("enriched"))

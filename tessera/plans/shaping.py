@@ -170,12 +170,12 @@ def prefix_levels(spark, sf):
     return t.select("l_orderkey", F.size("act").cast("long").alias("active"), F.expr("slice(surv, 1, size(act)) = act").alias("prefix"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS hits, CASE WHEN p_size % 5 <> 0 THEN [1, 60, 3600][p_size % 3 + 1] END AS seconds FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size ELSE -1 END AS hits, CASE WHEN p_size % 5 <> 0 THEN [1, 60, 3600][p_size % 3 + 1] ELSE -1 END AS seconds FROM part")
 def rate_specs(spark, sf):
-    """'30 per minute' as hits and seconds; what doesn't read so is null."""
+    """'30 per minute' as hits and seconds; what doesn't read so is null, shown as -1."""
     unit = F.when(F.col("p_size") % 3 == 0, "second").when(F.col("p_size") % 3 == 1, " Minute ").otherwise("HOUR")
     spec = F.when(F.col("p_size") % 5 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" a "), unit)).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" per "), unit))
-    return table(spark, sf, "part").select("p_partkey", spec.alias("s")).select("p_partkey", ck.rate_spec("s").alias("r")).select("p_partkey", "r.hits", "r.seconds")
+    return table(spark, sf, "part").select("p_partkey", spec.alias("s")).select("p_partkey", ck.rate_spec("s").alias("r")).select("p_partkey", *[F.coalesce(f"r.{c}", F.lit(-1)).alias(c) for c in ("hits", "seconds")])
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE greatest(-1, least(1, p_retailprice / 1000 - 1)) END AS safe FROM part")
@@ -185,10 +185,10 @@ def finite_guard(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ar.guarded(x, -1.0, 1.0).alias("safe"))
 
 
-@query("SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH) AS INTEGER) AS days, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(isodow(o_orderdate) AS INTEGER) AS weekday FROM orders")
+@query("SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH) AS INTEGER) AS days, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, CAST(isodow(o_orderdate) AS INTEGER) AS weekday FROM orders")
 def date_arithmetic(spark, sf):
     d = F.to_date("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", F.date_diff(F.add_months(d, 2), d).alias("days"), F.trunc(d, "month").alias("month"), (F.weekday(d) + 1).alias("weekday"))
+    return table(spark, sf, "orders").select("o_orderkey", F.date_diff(F.add_months(d, 2), d).alias("days"), F.date_format(F.trunc(d, "month"), "yyyy-MM-dd").alias("month"), (F.weekday(d) + 1).alias("weekday"))
 
 
 @query("SELECT p_partkey, 'Name & <' || p_name || '> \"x\"' AS clean FROM part")
