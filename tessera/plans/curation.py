@@ -43,7 +43,13 @@ def exact_count_accuracy(spark, sf):
     return t.groupBy("k").agg(F.round(F.avg(F.when(F.col("ny") > 0, same)), 6).alias("present_only"), F.round(F.avg(F.when((F.col("ny") > 0) | (F.col("nh") > 0), same)), 6).alias("union_"))
 
 
-@query()
+@query(
+    "WITH g AS (SELECT l_orderkey, list_sort(list(CAST(l_quantity AS DOUBLE))) AS x, list_sort(list(CAST(l_discount AS DOUBLE) * 100) FILTER (WHERE l_discount > 0.02)) AS y FROM lineitem GROUP BY 1), "
+    "s AS (SELECT l_orderkey, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS a, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS b FROM g WHERE y IS NOT NULL), "
+    "c AS (SELECT l_orderkey, list_reduce(list_concat([list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS DOUBLE))], list_transform(a, lambda e: [e])), "
+    "lambda acc, e: list_concat([CAST(1e18 AS DOUBLE)], list_transform(range(1, len(b) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda i: acc[i] + abs(b[i] - e[1])))))) AS costs FROM s) "
+    "SELECT g.l_orderkey, round(costs[-1], 6) AS cost FROM g LEFT JOIN c USING (l_orderkey)"
+)
 def assignment_of_lists(spark, sf):
     """Optimal one-to-one assignment of an order's quantities to its discounts (in hundredths)."""
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("a"), F.collect_list(F.when(F.col("l_discount") > 0.02, F.col("l_discount") * 100)).alias("b"))
