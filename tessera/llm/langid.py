@@ -12,7 +12,7 @@ log P(l | row) = log P(text | l) + log P(declared | l) + log P(address suffix |
   grouped aggregation with map-side partial sums, so a host with a third of the rows costs no more.  A row's own
   posterior is taken out of all four levels before they judge it, so its text counts once.
 
-Text evidence is worked out once and written; hosts with many rows meet their counts by a broadcast, so that what is
+Text evidence is worked out once and written where the text need not go along; hosts with many rows meet their counts by a broadcast, so that what is
 shuffled where there are many hosts has no hot key.
 
 A fifth hypothesis, ``und``, spreads its trigrams evenly over the buckets: a row is rejected where
@@ -143,10 +143,21 @@ def _evidence(names: list[str], value: Column, reliable: float) -> Column:
     return F.array(*[F.when(F.coalesce(known, F.lit(False)), F.when(value == x, F.lit(float(np.log(reliable)))).otherwise(F.lit(float(np.log(other))))).otherwise(F.lit(0.0)) for x in names])
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once a row, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 def _posterior(logs: Column) -> Column:
-    top = F.array_max(logs)
-    odds = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, y: a + y))
+    def of(l: Column) -> Column:
+        odds = _bound(F.array_max(l), lambda top: F.transform(l, lambda x: F.exp(x - top)))
+        return _bound(odds, lambda o: _bound(_total(o), lambda t: F.transform(o, lambda x: x / t)))
+
+    return _bound(logs, of)
 
 
 def host_of(address: str) -> Column:
@@ -181,11 +192,14 @@ def host_prior(total: list[float], post: Column) -> Column:
 
     def shrunk(counts: Column, above: Column) -> Column:
         left = F.zip_with(counts, post, lambda n, p: F.greatest(n - p, F.lit(0.0)))
-        return F.transform(F.array(left), lambda n: F.zip_with(n, above, lambda x, a: (x + KAPPA * a) / (F.aggregate(n, F.lit(0.0), lambda s, y: s + y) + KAPPA)))[0]
+        return _bound(left, lambda n: _bound(_total(n) + KAPPA, lambda t: F.zip_with(n, above, lambda x, a: (x + KAPPA * a) / t)))
+
+    def below(level: str):
+        return lambda p: F.when(F.col(level).isNull(), p).otherwise(shrunk(F.col(level), p))
 
     p = shrunk(F.array(*[F.lit(float(x)) for x in total]), F.array(*[F.lit(1 / k)] * k))
     for level in ("of_suffix", "of_parent", "own"):  # a null host has no levels: the overall prior
-        p = F.when(F.col(level).isNull(), p).otherwise(shrunk(F.col(level), p))
+        p = _bound(p, below(level))
     return F.transform(p, lambda x: F.log(x))
 
 
@@ -211,7 +225,8 @@ def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
 def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, address_col: str | None = None, host_col: str | None = None, carry: list[str] | None = None, names: tuple[str, str, str] = ("_lang", "_lang_score", "_lang_ok")) -> DataFrame:
     """Columns ``carry`` (all by default), then the language string, its score double and whether the row is accepted boolean, called ``names``.
 
-    The rows are written once with their text evidence, so a caller that needs few columns should carry few.
+    Without the text among ``carry`` the rows are written once with their text evidence; with it the evidence is worked
+    out twice, for the hosts and for the rows.
     """
     carry = df.columns if carry is None else carry
     kept = [F.col(f"`{c}`") for c in carry]
@@ -228,16 +243,19 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared_col:
     other = F.array(*[sum((p[i] for p in parts), F.lit(0.0)) for i in range(k)])
     inner = [f"_c{i}" for i in range(len(carry))]  # whatever the columns are called
     marked = df.select(*[c.alias(n) for c, n in zip(kept, inner)], text_evidence(model)(text).alias("_text"), host.alias("_host"), other.alias("_other"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    marked = scratch.save(marked, "marked").withColumn("_own", F.slice("_text", 1, k).cast("array<double>"))
+    if text_col not in carry:  # else the texts themselves would be written once more, which costs more than their evidence
+        marked = scratch.save(marked, "marked")
+    marked = marked.withColumn("_own", F.slice("_text", 1, k).cast("array<double>"))
     marked = marked.withColumn("_post", _posterior(F.col("_own")))
     counts, total = host_counts(marked.select("_host", "_post"), k, "_host", "_post", scratch)
     joined = _with_counts(marked, counts).withColumn("_prior", host_prior(total, F.col("_post")))
     logs = F.array(*[F.col("_own")[i] + F.col("_other")[i] + F.col("_prior")[i] for i in range(k)], F.col("_text")[k].cast("double") + F.lit(NOISE))
-    out = joined.withColumn("_all", _posterior(logs))
-    best = F.array_max(F.slice("_all", 1, k))
-    ok = F.col("_letters") & (best >= FLOOR) & (best >= F.col("_all")[k])
-    name = F.array(*[F.lit(x) for x in langs])[F.array_position(F.slice("_all", 1, k), best).cast("int") - 1]
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.when(ok, name).otherwise("und").alias(names[0]), best.alias(names[1]), ok.alias(names[2]))
+    joined_all = joined.withColumn("_all", _posterior(logs)).withColumn("_best", F.array_max(F.slice("_all", 1, k)))
+    # never false: a projection that isn't deterministic keeps a caller's filter above it, which would work all of this out again
+    best = F.when(F.rand() >= 0, F.col("_best"))
+    ok = F.col("_letters") & (F.col("_best") >= FLOOR) & (F.col("_best") >= F.col("_all")[k])
+    name = F.array(*[F.lit(x) for x in langs])[F.array_position(F.slice("_all", 1, k), F.col("_best")).cast("int") - 1]
+    return joined_all.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.when(ok, name).otherwise("und").alias(names[0]), best.alias(names[1]), ok.alias(names[2]))
 
 
 def visible_text(html: str) -> Column:
