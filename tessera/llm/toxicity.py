@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -130,10 +131,14 @@ def parts_of(word: str) -> list[str]:
 
 
 class Reader:
-    """Text -> features, with a bounded memory of tokens."""
+    """Text -> features (only those of ``wanted``, if given), with a bounded memory of tokens."""
 
-    def __init__(self, decoder: Decoder):
-        self.decoder, self.known = decoder, {}
+    def __init__(self, decoder: Decoder, wanted: Collection[str] | None = None):
+        self.decoder, self.wanted, self.known = decoder, wanted, {}
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        found = self.of_word(token)
+        return found if self.wanted is None else tuple(f for f in found if f in self.wanted)
 
     def of_word(self, token: str) -> tuple[str, ...]:
         word = word_of(token)
@@ -148,7 +153,7 @@ class Reader:
             if any(c.isalpha() or c in LOOKALIKES for c in word):
                 forms.add(self.decoder.restore(word))
         else:
-            forms.add(word)
+            return (word + "$", *(word[:k] for k in (3, 4, 5) if len(word) >= k)) if len(word) >= 3 else ()
         out = []
         for w in forms:
             if len(w) >= 3:
@@ -166,10 +171,11 @@ class Reader:
         for t in tokens:
             got = known.get(t)
             if got is None:
-                got = self.of_word(t)
+                got = self.of_token(t)
                 if len(t) <= LONG:
                     known[t] = got
-            found.update(got)
+            if got:
+                found.update(got)
         return found
 
 
@@ -178,15 +184,16 @@ def _trigrams(batches):
     seen: Counter = Counter()
 
     def flush():
-        total: Counter = Counter()
-        for w, n in seen.items():
-            w = word_of(w)
-            if w.isalpha() and not TRIPLE.search(w):
-                g = f"^^{w}$"
-                for i in range(len(g) - 2):
-                    total[g[i : i + 3]] += n
+        plain = [(w, n) for w, n in zip(map(word_of, seen), seen.values()) if w.isalpha() and not TRIPLE.search(w)]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
+        sizes = np.fromiter((len(w) + 1 for w, _ in plain), np.int64, len(plain))  # trigrams of ^^word$
+        flat = np.frombuffer("".join([f"^^{w}$" for w, _ in plain]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(len(plain)), sizes)
+        code = flat[at] << 42 | flat[at + 1] << 21 | flat[at + 2]
+        kinds, back = np.unique(code, return_inverse=True)
+        total = np.bincount(back, np.repeat(np.fromiter((n for _, n in plain), np.float64, len(plain)), sizes), len(kinds))
+        grams = [chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in kinds.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(total.astype(np.int64))], ["g", "n"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
@@ -215,9 +222,10 @@ def _feature_counts(shared):
 
 def _present(shared, chosen):
     def run(batches):
-        reader, place = Reader(Decoder(shared.value)), chosen.value
+        place = chosen.value
+        reader = Reader(Decoder(shared.value), place)
         for b in batches:
-            at = [sorted(place[f] for f in reader.features(t or "") if f in place) for t in b.column(0).to_pylist()]
+            at = [sorted(place[f] for f in reader.features(t or "")) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.list_(pa.int32()))], ["y", "at"])
 
     return run
@@ -279,10 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 def _scores(shared):
     def run(batches):
         model = shared.value
-        reader, weights = Reader(Decoder(model.trigrams)), model.weights
-        own = weights.keys()
+        weights = model.weights
+        reader = Reader(Decoder(model.trigrams), weights)
         for b in batches:
-            z = np.array([model.bias + sum(weights[f] for f in sorted(own & reader.features(t or ""))) for t in b.column(1).to_pylist()])
+            z = np.array([model.bias + sum(weights[f] for f in sorted(reader.features(t or ""))) for t in b.column(1).to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
