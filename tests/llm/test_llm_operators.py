@@ -774,3 +774,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         ids = [r.doc_id for r in out]
         assert ids.count(0) == 1 and set(range(13)) - {1} <= set(ids) and not {70, 71} & set(ids)
         assert len({1, None} & set(ids)) >= 1 and all(r.lossless and r.n_pieces == len(r.pieces) for r in out)
+
+
+def test_pieces_query_digests_the_operators_rows(spark, tmp_path):
+    import zlib
+
+    rows = [(1, "a word, and another"), (2, None), (3, ""), (None, "x" * 200 + "\nnaïve ▁ 𝒳"), (1, "a word, and another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = pieces.query(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # the operator, then its digests
+    want = [(r.doc_id, len(r.pieces), zlib.crc32(np.array(r.pieces, "<u4").tobytes()), True) for r in pieces.segmented(docs).collect()]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
