@@ -172,6 +172,41 @@ def test_repeats_of_repeated_rows(spark):
     assert got == spans(rows) and {x[0] for x in got} == {1, 2}
 
 
+@pytest.mark.parametrize("keep,bucket", [("none", 1 << 16), ("none", 2), ("first", 1 << 16), ("first", 2)])
+def test_repeats_in_words(spark, texts, keep, bucket):
+    """Runs of 12 words against every window of 12 words, white space taken as equal."""
+    rng = random.Random(6)
+    run = words(rng, 30, "abc")
+    own = [t or "" for t in texts] + [" ".join(run[:20]), "x\t" + "\n ".join(run[5:]) + " é", " ".join([*run[:11], "y", *run[11:]]), "of " * 40, "of\nof " * 7, "of " * 11]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    spans = {r.id: r.spans for r in repeats.repeated_spans(df, keep=keep, bucket=bucket, least=12 * repeats.WORD, gram=24, words=True).collect()}
+    split = [t.encode().split() for t in own]
+    seen, done = Counter(tuple(t[p : p + 12]) for t in split for p in range(len(t) - 11)), set()
+    for i, t in enumerate(split):
+        gone = set()
+        for p in range(len(t) - 11):
+            if seen[s := tuple(t[p : p + 12])] > 1 and (keep == "none" or s in done):
+                gone |= set(range(p, p + 12))
+            done.add(s)
+        assert {p for x in spans.get(i, []) for p in range(x["start"], x["end"])} == gone, i
+
+
+def test_passages_of_few_bytes_and_of_few_words(spark):
+    """51 words of 152 bytes, and 4 words of 440: later copies go, whatever the white space; runs of 49 words stay."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    short = [rng.choice("abcdefgh") + rng.choice("éxyz") for _ in range(51)]
+    long = " ".join("".join(rng.choice("abcdef") for _ in range(110)) for _ in range(4))
+    under = " ".join(words(rng, 49, "mnop"))
+    around = [" ".join(words(rng, 40)) for _ in range(8)]
+    rows = [(1, f"{around[0]} {' '.join(short)} {around[1]}"), (2, f"{around[2]}|{chr(10).join(short)}|{around[3]} {long}"), (3, f"{around[4]}\n{'  '.join(short)}\n{around[5]} {under}"), (4, f"{around[6]} {under} {long} {around[7]}"), (5, None)]
+    left = {r.doc_id: r for r in corpus_pipeline.passage_dedup(spark, spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long"), "").collect()}
+    assert left[1].text == rows[0][1] and left[2].text == rows[1][1]  # in 2 it is 49 words, between two others
+    assert left[3].text == f"{around[4]}\n\n{around[5]} {under}" and left[4].text.split() == f"{around[6]} {under} {around[7]}".split()
+    assert all(r.n_chars == len(r.text or "") for r in left.values()) and len(left) == 5
+
+
 # ---------------------------------------------------------------- decontamination
 
 
