@@ -543,6 +543,30 @@ def test_mixing_against_a_loop():
         assert logs[4, v] == pytest.approx(np.log10(np.where(bits == 1, p, 1 - p)).sum(), abs=1e-4)
 
 
+def test_mixing_makes_words_at_little_cost():
+    """Taking a run apart costs less than reading its distinct words one value at a time would alone."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(19)
+    names = [f"{rng.randrange(1 << 40):x}é" for _ in range(120_000)]
+    texts, distinct = pa.array([" ".join(names), "", " B\ta b "], pa.large_string()), pa.array([n.encode() for n in names], pa.large_binary())
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    run = mixing.Run(texts)
+    assert run.words == [*dict.fromkeys(n.encode() for n in names), b"b", b"a", b""]
+    assert [run.words[i] for i in run.word[-5:]] == [b"", b"b", b"a", b"b", b""]
+    assert least(lambda: mixing.Run(texts)) < least(distinct.to_pylist)
+
+
 def test_mixing_does_not_depend_on_partitions(spark):
     rng = random.Random(11)
     vocab = words(rng, 300)
