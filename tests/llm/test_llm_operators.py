@@ -252,6 +252,30 @@ def test_repeats_at_contract_size(spark, tmp_path):
     assert sorted(got) == sorted(want) and sum(r[2] > 0 for r in want) > 10
 
 
+def test_repeats_query_tells_passages_by_words(spark, tmp_path):
+    """Runs of 50 words of under 400 bytes remove nothing, but their documents show them; against every window of 50 words."""
+    import duckdb
+
+    rng = random.Random(23)
+    run = words(rng, 51, "ab")
+    short = [w[:4] for w in run]
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    rows += [(10_000, f"{' '.join(words(rng, 40))} {' '.join(short)} {' '.join(words(rng, 40))}"), (10_001, "é\u00a0é " + "\n".join(short)), (10_002, " ".join(short[:49])), (10_003, "of " * 51), (10_004, None), (10_004, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = [(t or "").encode().split() for _, t in rows]
+    seen, want = Counter(tuple(t[p : p + 50]) for t in split for p in range(len(t) - 49)), []
+    for (d, _), t in zip(rows, split):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if seen[tuple(t[p : p + 50])] > 1:
+                gone[p : p + 50] = True
+        want.append((d, int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) > 0).sum())))
+    out = repeats.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_passage_words, r.n_passages) for r in out) == sorted(want)
+    told = {r.doc_id: (r.n_removed, r.n_passage_words) for r in out}
+    assert [told[d] for d in range(10_000, 10_004)] == [(0, 51), (0, 51), (0, 0), (0, 51)]
+
+
 # ---------------------------------------------------------------- token files
 
 
